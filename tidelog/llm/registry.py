@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import secrets, sharding, url_filter
+from . import byte_bpe, secrets, sharding, url_filter
 
 
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
+            byte_bpe.op2_byte_bpe,
             sharding.op3_rendezvous_sharding,
             url_filter.op6_url_vocabulary,
             secrets.op10_assignment_secrets,

@@ -37,7 +37,7 @@ STRICT = ["porn", "xxx", "hentai", "escort", "casino", "viagra", "warez", "torre
 SOFT = {
     "adult": 1.0, "sex": 1.0, "nude": 1.0, "cam": 1.0, "cams": 1.0, "dating": 1.0, "bet": 1.0, "betting": 1.0,
     "poker": 1.0, "slots": 1.0, "bonus": 1.0, "pills": 1.0, "crack": 1.0, "keygen": 1.0, "free": 0.5, "download": 0.5,
-    "hot": 0.5, "girls": 0.5, "win": 0.5, "cheap": 0.5, "feed": 0.5, "ref": 0.5,
+    "hot": 0.5, "girls": 0.5, "win": 0.5, "cheap": 0.5,
 }
 THRESHOLD = 2.0
 
@@ -133,11 +133,11 @@ def oracle() -> str:
     return f"""
 WITH vocabulary(term, weight) AS (VALUES {listed}),
 rules(verdict, rhost, rpath) AS (VALUES {rules}),
-cut AS (SELECT page_id, url, row_number() OVER () AS rid, strpos(url, '://') AS at FROM pages),
+cut AS (SELECT page_id, url, row_number() OVER () AS rid, strpos(url, '://') AS mark FROM pages),
 parts AS (
   SELECT page_id, url, rid,
-    CASE WHEN at > 0 THEN translate(regexp_extract(substr(url, at + 3), '^[^/?#]*'), '{ASCII_UPPER}', '{ASCII_LOWER}') ELSE '' END AS host,
-    CASE WHEN at > 0 THEN regexp_extract(substr(url, at + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+    CASE WHEN mark > 0 THEN translate(regexp_extract(substr(url, mark + 3), '^[^/?#]*'), '{ASCII_UPPER}', '{ASCII_LOWER}') ELSE '' END AS host,
+    CASE WHEN mark > 0 THEN regexp_extract(substr(url, mark + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
   FROM cut),
 fits AS (
   SELECT rid, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(rules.verdict, length(rhost || rpath)) AS verdict
