@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, secrets, sharding, url_filter
+from . import byte_bpe, decontamination, secrets, sharding, url_filter
 
 
 def queries() -> dict:
@@ -12,10 +12,14 @@ def queries() -> dict:
             byte_bpe.op2_byte_bpe,
             sharding.op3_rendezvous_sharding,
             url_filter.op6_url_vocabulary,
+            decontamination.op8_prefix_decontamination,
             secrets.op10_assignment_secrets,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_vocabulary": url_filter.oracle()}
+    return {
+        "op6_url_vocabulary": url_filter.oracle(),
+        "op8_prefix_decontamination": decontamination.oracle(),
+    }
