@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, secrets, sharding, url_filter
+from . import byte_bpe, decontamination, near_dedup, secrets, sharding, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         for f in (
             byte_bpe.op2_byte_bpe,
             sharding.op3_rendezvous_sharding,
+            near_dedup.op4_tensored_minhash,
             url_filter.op6_url_vocabulary,
             decontamination.op8_prefix_decontamination,
             secrets.op10_assignment_secrets,
