@@ -5,11 +5,16 @@ window). A window occurs in a document only if all of its shingles of SHINGLE
 words do, in place; its tokens are these shingles. Exact containment needs a prefix of one token: the
 shingle that is rarest over all documents. The steps:
 
-1. count every benchmark shingle over all documents;
-2. order each window's shingles by that rarity and keep the first, with its place
-   in the window; a window whose rarest shingle is nowhere cannot occur and goes;
-3. join documents' shingles with these prefixes, drop candidates that would begin
-   before the document or end after it, and compare the words themselves.
+1. read the documents once and keep the places of benchmark shingles, each with
+   the words around it that a window there could hold;
+2. count every benchmark shingle over all documents, order each window's shingles
+   by that rarity and keep the first, with its place in the window; a window with
+   a shingle that is nowhere cannot occur and goes;
+3. join the places with these prefixes, drop candidates that would begin before
+   the document or end after it, and compare the words themselves.
+
+Shingles are hashes of words in lower case of all scripts, which join at least
+what must join; the comparison of words lower-cases A-Z alone.
 
 Only benchmark tables are broadcast, and only up to BROADCAST_ROWS rows; beyond
 that Spark shuffles the join. Words are looked at in place, inside one document's
@@ -32,67 +37,84 @@ WINDOW = 10
 SHINGLE = 3
 BROADCAST_ROWS = 200_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words in a text whose A-Z are not lower-cased.
+CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The token of the row that stands for a document itself.
+DOCUMENT = 0
 
 
-def words_of(text: F.Column) -> F.Column:
-    """Words of a text with A-Z lower-cased. lower() does that alone where all characters are ASCII, and faster."""
-    body = F.coalesce(text, F.lit(""))
-    low = F.when(F.octet_length(body) == F.char_length(body), F.lower(body)).otherwise(ascii_lower(body))
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+def cased_words(text: F.Column) -> F.Column:
+    """Words of a text as they stand in it."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CASED_WORD), F.lit(0))
 
 
 def item_windows(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
     """Distinct windows as (window, len, items): words, their number, and the items that hold them as strings."""
-    worded = items.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text)).alias("w")).where(F.size("w") > 0)
+    worded = items.select(F.col(item_id).cast("string").alias("item"), F.regexp_extract_all(ascii_lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - F.lit(window - 1)))
     each = worded.select("item", "w", F.explode(starts).alias("i")).select("item", F.slice("w", F.col("i"), F.lit(window)).alias("window"))
     return each.groupBy("window").agg(F.collect_set("item").alias("items")).withColumn("len", F.size("window"))
 
 
 def _shingle(words: F.Column, at: F.Column, k: int) -> F.Column:
-    """A hash of k words from a place on, counted from 0."""
-    return F.xxhash64(*(F.get(words, at + i) for i in range(k)))
-
-
-def _shingled(docs: DataFrame, text: str, k: int, keep: list[F.Column]) -> DataFrame:
-    """A row for each shingle of each document: keep's columns, words, pos, token."""
-    worded = docs.select(*keep, words_of(F.col(text)).alias("words"))
-    out = worded.select("*", F.posexplode("words").alias("pos", "word"))
-    return out.where(F.col("pos") <= F.size("words") - k).withColumn("token", _shingle(F.col("words"), F.col("pos"), k)).drop("word")
+    """A hash of k words from a place on, counted from 0; never DOCUMENT."""
+    h = F.xxhash64(*(F.lower(F.get(words, at + i)) for i in range(k)))
+    return F.when(h == DOCUMENT, F.lit(1)).otherwise(h)
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def window_hits(docs: DataFrame, items: DataFrame, key: str, text: str, item_id: str, item_text: str, window: int = WINDOW) -> DataFrame:
-    """Occurrences of windows as (key, h, start, len, items); h is a hash of the text."""
+def _places(docs: DataFrame, key: str, text: str, vocabulary: DataFrame, k: int, window: int) -> DataFrame:
+    """Places of the vocabulary's shingles: (key, h, n_words, pos, token, around, first); around begins at word first.
+
+    Each document has a row of token DOCUMENT too, if the vocabulary has it.
+    """
+    worded = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), cased_words(F.col(text)).alias("words"))
+    each = worded.select("*", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "word")).drop("word")
+    n = F.size("words")
+    token = F.when(F.col("pos") <= n - k, _shingle(F.col("words"), F.col("pos"), k)).when(F.col("pos") == n, F.lit(DOCUMENT))
+    first = F.greatest(F.lit(0), F.col("pos") - (window - k))
+    around = F.when(F.col("token") != DOCUMENT, F.slice("words", first + 1, F.col("pos") + window - first))
+    found = each.withColumn("token", token.cast("long")).join(vocabulary, "token")
+    return found.select("key", "h", n.cast("long").alias("n_words"), "pos", "token", around.alias("around"), first.alias("first"))
+
+
+def window_hits(
+    docs: DataFrame, items: DataFrame, key: str, text: str, item_id: str, item_text: str, window: int = WINDOW
+) -> tuple[DataFrame, DataFrame]:
+    """Occurrences of windows as (key, h, start, len, items), and all documents as (key, h, n_words)."""
+    spark = docs.sparkSession
     windows = written(item_windows(items, item_id, item_text, window), "windows")
     sizes = {r["k"]: r["n"] for r in windows.groupBy(F.least("len", F.lit(SHINGLE)).alias("k")).agg(F.sum("len").alias("n")).collect()}
-    who = [F.col(key).alias("key"), F.xxhash64(text).alias("h")]
-    out = docs.select(*who, F.lit(0).alias("start"), F.lit(0).alias("len"), F.array(F.lit("")).alias("items")).where(F.lit(False))
-    for k, rows in sorted(sizes.items()):
+    marker = spark.range(1).select(F.lit(DOCUMENT).cast("long").alias("token"))
+    hits, documents = None, None
+    for k, rows in sorted(sizes.items(), reverse=True) or [(SHINGLE, 0)]:
         own = windows.where(F.least("len", F.lit(SHINGLE)) == k)
         tokens = own.select("window", "len", "items", F.explode(F.sequence(F.lit(0), F.col("len") - k)).alias("offset"))
         tokens = tokens.withColumn("token", _shingle(F.col("window"), F.col("offset"), k))
         vocabulary = tokens.select("token").distinct()
-        counts = _shingled(docs, text, k, []).select("token").join(_small(vocabulary, rows), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-        rarest = tokens.join(counts, "token").groupBy("window", "len", "items")
-        # a shingle that is nowhere is the rarest of its window, and the window cannot occur
-        rarest = rarest.agg(F.min(F.struct("n", "offset", "token")).alias("p"), F.countDistinct("offset").alias("there"))
-        prefixes = written(
-            rarest.where(F.col("there") == F.col("len") - k + 1).select("window", F.col("len").alias("len"), "items", "p.offset", "p.token"), "prefixes"
-        )
-        found = _shingled(docs, text, k, who).join(_small(prefixes, rows), "token").withColumn("start", F.col("pos") - F.col("offset"))
-        found = found.where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.size("words")))
-        found = found.where(F.slice("words", F.col("start") + 1, F.col("len")) == F.col("window"))
-        out = out.unionByName(found.select("key", "h", "start", "len", "items"))
-    return out
+        vocabulary = vocabulary.unionByName(marker) if documents is None else vocabulary
+        places = written(_places(docs, key, text, _small(vocabulary, rows), k, window), "places")
+        documents = places.where(F.col("token") == DOCUMENT).select("key", "h", "n_words") if documents is None else documents
+        places = places.where(F.col("token") != DOCUMENT)
+        counts = places.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+        ordered = tokens.join(counts, "token").groupBy("window", "len", "items")
+        ordered = ordered.agg(F.min(F.struct("n", "offset", "token")).alias("p"), F.countDistinct("offset").alias("there"))
+        prefixes = written(ordered.where(F.col("there") == F.col("len") - k + 1).select("window", "len", "items", "p.offset", "p.token"), "prefixes")
+        found = places.join(_small(prefixes, rows), "token").withColumn("start", F.col("pos") - F.col("offset"))
+        found = found.where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words")))
+        held = F.slice("around", F.col("start") - F.col("first") + 1, F.col("len"))
+        found = found.where(ascii_lower(F.array_join(held, " ")) == F.array_join("window", " "))
+        found = found.select("key", "h", "start", "len", "items")
+        hits = found if hits is None else hits.unionByName(found)
+    return hits, documents
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Per document: its words, the words that windows hit, and the items whose windows occur."""
-    hits = window_hits(docs, items, key, text, item_id, item_text, window)
+    hits, documents = window_hits(docs, items, key, text, item_id, item_text, window)
     # one document's windows and items: bounded by its own length and the benchmark
     by_doc = hits.groupBy("key", "h").agg(
         F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end")))).alias("spans"),
@@ -108,8 +130,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         ),
     )["n"]
     by_doc = by_doc.select(F.col("key").alias("k2"), F.col("h").alias("h2"), covered.alias("hit"), "item_ids")
-    narrow = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
-    joined = narrow.join(by_doc, F.col("key").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2")), "left")
+    joined = documents.join(by_doc, F.col("key").eqNullSafe(F.col("k2")) & (documents["h"] == F.col("h2")), "left")
     none = F.array().cast("array<string>")
     ids = F.coalesce("item_ids", none)
     return joined.select(
@@ -125,7 +146,8 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents in which no window of the benchmark occurs, all columns kept."""
-    hits = window_hits(docs, items, key, text, item_id, item_text, window).select(F.col("key").alias("_k"), F.col("h").alias("_h")).distinct()
+    hits, _ = window_hits(docs, items, key, text, item_id, item_text, window)
+    hits = hits.select(F.col("key").alias("_k"), F.col("h").alias("_h")).distinct()
     return docs.join(hits, docs[key].eqNullSafe(hits["_k"]) & (F.xxhash64(docs[text]) == hits["_h"]), "left_anti")
 
 
