@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, near_dedup, secrets, sharding, url_filter
+from . import byte_bpe, decontamination, language_id, near_dedup, secrets, sharding, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
             sharding.op3_rendezvous_sharding,
             near_dedup.op4_tensored_minhash,
             url_filter.op6_url_vocabulary,
+            language_id.op7_language_viterbi,
             decontamination.op8_prefix_decontamination,
             secrets.op10_assignment_secrets,
         )
