@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, language_id, near_dedup, secrets, sharding, url_filter
+from . import byte_bpe, decontamination, language_id, near_dedup, secrets, sharding, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
             url_filter.op6_url_vocabulary,
             language_id.op7_language_viterbi,
             decontamination.op8_prefix_decontamination,
+            toxicity.op9_nearest_toxicity,
             secrets.op10_assignment_secrets,
         )
     }
