@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, language_id, near_dedup, secrets, sharding, toxicity, url_filter
+from . import byte_bpe, decontamination, imatch, language_id, near_dedup, secrets, sharding, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
+            imatch.op1_imatch,
             byte_bpe.op2_byte_bpe,
             sharding.op3_rendezvous_sharding,
             near_dedup.op4_tensored_minhash,
