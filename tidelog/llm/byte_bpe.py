@@ -137,34 +137,42 @@ def _published() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode_documents(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str | None = None, pattern: str | None = None, with_ids: bool = False
+def with_tokens(
+    docs: DataFrame, text: str = "text", ranks_path: str | None = None, pattern: str | None = None, with_ids: bool = True
 ) -> DataFrame:
-    """Number of tokens and digests of ids and of the decoded bytes; with_ids: the ids too, as 32-bit integers."""
-    narrow = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    schema = f"key {narrow.schema['key'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    """The documents, all columns kept, with n_tokens, digests of ids and of the decoded bytes, and the ids as 32-bit integers."""
+    names = docs.columns
+    at = names.index(text)
+    inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    made = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")] + [("ids", "array<int>")] * with_ids
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema.fields) + "".join(f", _{n} {t}" for n, t in made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, pat = _published() if ranks_path is None else (ranks_path, pattern)
         bpe = vocabulary(path, pat)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, f"c{at}"):
             n, ids_sha, decoded_sha, all_ids = [], [], [], []
-            for body in batch.column("text").to_pylist():
-                packed = bpe.encode(body)
+            for body in batch.column(at).to_pylist():
+                packed = bpe.encode(body or "")
                 ids = np.frombuffer(packed, "<u4")
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(packed).hexdigest())
                 decoded_sha.append(hashlib.sha256(bpe.decode_bytes(ids.tolist())).hexdigest())
                 if with_ids:
                     all_ids.append(ids.astype(np.int32))
-            columns = [batch.column("key"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
-            names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
+            columns = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             if with_ids:
                 columns.append(pa.array(all_ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *(f"_{m[0]}" for m in made)])
 
-    return narrow.mapInArrow(run, schema).withColumnRenamed("key", key)
+    taken = {m[0] for m in made}
+    kept = [F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n not in taken]
+    return inner.mapInArrow(run, schema).select(*kept, *(F.col(f"_{m[0]}").alias(m[0]) for m in made))
+
+
+def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of every document."""
+    return with_tokens(docs.select(key, text), text, ranks_path, pattern, with_ids=False).drop(text)
 
 
 def decode_ids(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, imatch, language_id, near_dedup, secrets, sharding, toxicity, url_filter
+import corpus_pipeline
+
+from . import (
+    byte_bpe,
+    decontamination,
+    imatch,
+    language_id,
+    near_dedup,
+    secrets,
+    sharding,
+    toxicity,
+    url_filter,
+    warc,
+)
 
 
 def queries() -> dict:
-    return {
-        f.__name__: f
-        for f in (
-            imatch.op1_imatch,
-            byte_bpe.op2_byte_bpe,
-            sharding.op3_rendezvous_sharding,
-            near_dedup.op4_tensored_minhash,
-            url_filter.op6_url_vocabulary,
-            language_id.op7_language_viterbi,
-            decontamination.op8_prefix_decontamination,
-            toxicity.op9_nearest_toxicity,
-            secrets.op10_assignment_secrets,
-        )
-    }
+    operators = (
+        imatch.op1_imatch,
+        byte_bpe.op2_byte_bpe,
+        sharding.op3_rendezvous_sharding,
+        near_dedup.op4_tensored_minhash,
+        warc.op5_warc,
+        url_filter.op6_url_vocabulary,
+        language_id.op7_language_viterbi,
+        decontamination.op8_prefix_decontamination,
+        toxicity.op9_nearest_toxicity,
+        secrets.op10_assignment_secrets,
+    )
+    return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
