@@ -1 +1,4 @@
 
+"""Queries by area; importing the package registers them."""
+
+from . import catalogue, changes  # noqa: F401
