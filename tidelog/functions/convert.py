@@ -60,7 +60,7 @@ def date(c: Column) -> Column:
     """A date ``yyyy-mm-dd``; null if any part is zero or it is no date."""
     pattern = r"^(\d{4})-(\d{2})-(\d{2})"
     zero = F.regexp_extract(c, pattern, 1).isin("0000") | F.regexp_extract(c, pattern, 2).isin("00") | F.regexp_extract(c, pattern, 3).isin("00")
-    return F.when(c.rlike(pattern) & ~zero, F.try_to_date(F.substring(c, 1, 10), F.lit("yyyy-MM-dd")))
+    return F.when(c.rlike(pattern) & ~zero, F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd"))
 
 
 def epoch_days(c: Column) -> Column:
@@ -93,7 +93,7 @@ def enum_set(bits: Column, options: list[str], width: int = 64) -> Column:
     """
     listed = F.array(*(F.lit(o) for o in options))
     at = F.sequence(F.lit(0), F.lit(width - 1))
-    chosen = F.filter(at, lambda i: (F.shiftrightunsigned(bits.cast("long"), i) % 2) != 0)
+    chosen = F.filter(at, lambda i: (F.call_function("shiftrightunsigned", bits.cast("long"), i) % 2) != 0)
     texts = F.transform(chosen, lambda i: F.coalesce(F.get(listed, i), F.lit("")))
     return F.array_join(texts, ",")
 
@@ -103,7 +103,7 @@ def bits(c: Column, length: int) -> Column:
     if length == 1:
         return c.cast("long") != 0
     n = -(-length // 8)
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lpad(F.hex(F.shiftrightunsigned(c.cast("long"), i * 8) % 256), 2, "0")), ""))
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lpad(F.hex(F.call_function("shiftrightunsigned", c.cast("long"), i * 8) % 256), 2, "0")), ""))
 
 
 def padded_binary(c: Column, length: int) -> Column:
@@ -120,7 +120,7 @@ def packed_date(v: Column) -> Column:
     """A date packed as day + 32 * (month + 16 * year); null if any part is zero."""
     day, month, y = v % 32, F.shiftright(v, 5) % 16, F.shiftright(v, 9)
     real = (day > 0) & (month > 0) & (y > 0)
-    return F.when(real, F.try_to_date(F.format_string("%04d-%02d-%02d", y.cast("int"), month.cast("int"), day.cast("int")), F.lit("yyyy-MM-dd")))
+    return F.when(real, F.try_to_date(F.format_string("%04d-%02d-%02d", y.cast("int"), month.cast("int"), day.cast("int")), "yyyy-MM-dd"))
 
 
 def packed_datetime(v: Column) -> Column:

@@ -1,4 +1,3 @@
-
 """Queries by area; importing the package registers them."""
 
-from . import catalogue, changes  # noqa: F401
+from . import catalogue, changes, conversions, surface  # noqa: F401
