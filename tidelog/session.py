@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import getpass
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +38,25 @@ def local_session(cpus: int | str | None = None, shuffle_partitions: int | None
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master uses the machine's temporary folder and
+    a cluster uses a folder in its warehouse.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):
+        return f"file://{os.path.join(tempfile.gettempdir(), f'tidelog-{getpass.getuser()}')}"
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tidelog_scratch"
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; it is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
