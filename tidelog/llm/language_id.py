@@ -1,16 +1,17 @@
 """Language identification: script ranges narrow the candidates, Viterbi labels spans.
 
 A text's words are runs of letters. Each word has a script (that of its first
-letter) and, for every learned language, the mean log likelihood of its character
-n-grams times their effective number; languages in which that script is next to
-absent are no candidates for the word. A Viterbi pass over the words with one penalty for any
-switch of language gives every word its label, so a text of several languages
-falls into spans. The document's language is the one with the most letters; the
+letter) and, for every learned language, the log likelihood of its character
+trigrams; languages in which that script is next to absent are no candidates for
+the word. A Viterbi pass over the words with one penalty for any switch of
+language gives every word its label, so a text of several languages falls into
+spans. The document's language is the one with the most letters; the
 score is its share of the letters times its posterior over the labelled words.
 
-Learning counts n-grams and scripts of the labelled documents, all of them, in
-one pass with partial sums on the executors; what reaches the driver is at most
-MAX_FEATURES counts, the most frequent.
+Learning takes a bounded sample of the labelled documents: the MAX_DOCS with the
+lowest hashes of their ids, whole. It counts their trigrams and scripts with
+partial sums on the executors; what reaches the driver is at most MAX_FEATURES
+counts, the most frequent.
 
 Edge cases: a null text, one without letters, or no learned language give ``und``
 with score 0; a null doc_id is not learned from and not held out; repeated rows
@@ -34,6 +35,8 @@ from ._common import slices
 
 #: Counts that the model keeps, over all languages.
 MAX_FEATURES = 300_000
+#: Labelled documents that are learned from.
+MAX_DOCS = 20_000
 #: Cost of a switch, and how far below the best a word may put a language, in nats.
 SWITCH = 14.0
 FLOOR = 6.0
@@ -54,7 +57,7 @@ SCRIPTS = [
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Words whose scores a worker remembers.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 500_000
 
 
 def script_of(letter: str) -> str:
@@ -64,9 +67,9 @@ def script_of(letter: str) -> str:
 
 
 def grams(word: str) -> list[str]:
-    """Character n-grams of a word with its ends marked: two to four long."""
+    """Character trigrams of a word with its ends marked."""
     w = f"<{word}>"
-    return [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)]
+    return [w[i : i + 3] for i in range(len(w) - 2)]
 
 
 def remainder(key: F.Column, modulus: int) -> F.Column:
@@ -134,8 +137,7 @@ class Model:
             ids += g
             lengths.append(len(g))
         starts = np.r_[0, np.cumsum(lengths)[:-1]]
-        # n-grams of three lengths overlap: a third of their sum counts
-        out = np.add.reduceat(self.scores[ids], starts, axis=0) / 3
+        out = np.add.reduceat(self.scores[ids], starts, axis=0)
         for s, shut in self.closed.items():
             if shut.any() and not shut.all():
                 own = [i for i, w in enumerate(words) if script_of(w[0]) == s]
@@ -231,9 +233,13 @@ def _predicted(texts: list[str | None], scorer: Scorer, with_spans: bool) -> tup
     return pred, share, n_spans, all_spans
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", max_features: int = MAX_FEATURES) -> Model:
-    """A model of labelled documents."""
-    rows = count_features(labelled, text, lang).orderBy(F.desc(F.col("feature").startswith("script:")), F.desc("n"), "lang", "feature").limit(max_features)
+def learn(
+    labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS, max_features: int = MAX_FEATURES
+) -> Model:
+    """A model of labelled documents, of at most max_docs of them (and those that share the last one's hash)."""
+    usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
+    last = usable.select(F.xxhash64(key).alias("x")).orderBy("x").limit(max_docs).agg(F.max("x")).first()[0]
+    rows = count_features(usable.where(F.xxhash64(key) <= F.lit(last)), text, lang).orderBy(F.desc(F.col("feature").startswith("script:")), F.desc("n"), "lang", "feature").limit(max_features)
     return Model([tuple(r) for r in rows.collect()])
 
 
@@ -265,7 +271,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", with_spans: bool
 
 def reject_unknown(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.2) -> DataFrame:
     """The documents less those without a language (no letters, or a score below least), all columns kept, lang as predicted."""
-    model = learn(docs.where(remainder(F.col(key), 3) != 1), text, lang)
+    model = learn(docs.where(remainder(F.col(key), 3) != 1), key, text, lang)
     out = predict(docs, model, text).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return out.select(*(F.col("lang_pred").alias(lang) if c == lang else F.col(c) for c in docs.columns))
 
