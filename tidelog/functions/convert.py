@@ -132,6 +132,13 @@ def packed_datetime(v: Column) -> Column:
     return F.when((y > 0) & (month > 0) & (day > 0), made)
 
 
+def packed_time(v: Column) -> Column:
+    """Microseconds of a time packed in 24 bits, offset by 0x800000; below the offset it is negative."""
+    n = F.abs(v - 0x800000)
+    micros = ((F.shiftright(n, 12) % 1024) * 3600 + (F.shiftright(n, 6) % 64) * 60 + n % 64) * 1_000_000
+    return F.when(v < 0x800000, -micros).otherwise(micros).cast("long")
+
+
 def point(raw: Column) -> Column:
     """{srid, x, y} of four bytes of little-endian SRID and a little-endian WKB point; null if it is of another size; SRID 0 is null."""
     text = F.hex(raw)

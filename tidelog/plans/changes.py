@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import redo
 from ..operators import changelog, gtid, materialize, positions, predicates, transactions
-from ..session import table
+from ..session import scratch_path, table
 from .catalogue import register
 
 #: The change log in DuckDB, as the first tables of a WITH.
@@ -88,7 +88,10 @@ def _chained_orders(spark, sf_dir):
     """Orders as versions of one row whose key changes: chained in order of o_orderkey, by range and not in one task."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, "o_orderkey").withColumn("p", F.spark_partition_id())
+    # written once: bounds of ranges are sampled, and the parts are read twice
+    path = scratch_path(spark, "ranged")
+    rows.repartitionByRange(parts, "o_orderkey").withColumn("p", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
     line = Window.partitionBy("p").orderBy("o_orderkey")
     inner = ranged.withColumn("prev", F.lag(F.struct("o_custkey", "o_orderstatus")).over(line))
     # the last row of each part leads into the next: one row a part

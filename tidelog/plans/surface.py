@@ -236,3 +236,43 @@ def event_sessions(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = rows.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return out.select("user_id", F.unix_micros("w.start").alias("start"), "n")
+
+
+@register("""SELECT event_id, sum(value::DECIMAL(20,6)) OVER w::VARCHAR AS total, rank() OVER (PARTITION BY user_id ORDER BY event_type) AS rk, count(*) OVER w AS n
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING)""")
+def named_windows(spark, sf_dir):
+    return spark.sql(
+        """SELECT event_id, cast(cast(sum(cast(value AS DECIMAL(20,6))) OVER w AS DECIMAL(38,6)) AS STRING) AS total, rank() OVER (PARTITION BY user_id ORDER BY event_type) AS rk, count(*) OVER w AS n
+        FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING)""",
+        events=table(spark, sf_dir, "events"),
+    )
+
+
+@register("SELECT doc_id, md5(source) AS m, sha1(source) AS s1, sha256(source) AS s2, lower(hex(source::BLOB)) AS hx, base64(source::BLOB) AS b64 FROM documents")
+def crypto_funcs(spark, sf_dir):
+    raw = F.col("source").cast("binary")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(raw).alias("m"), F.sha1(raw).alias("s1"), F.sha2(raw, 256).alias("s2"), F.lower(F.hex(raw)).alias("hx"), F.base64(raw).alias("b64"))
+
+
+@register("""SELECT event_id, CASE WHEN value > 25 THEN 'high' ELSE 'low' END AS level, coalesce(NULLIF(event_type, 'view'), 'none') AS filled, NULLIF(event_type, 'view') IS NULL AS missing, TRY_CAST(substr(event_type, 1, 1) AS INT) AS number, value::INT AS whole FROM (SELECT event_id, event_type, floor(value) AS value FROM events)""")
+def control_funcs(spark, sf_dir):
+    t, v = F.col("event_type"), F.floor("value")
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.when(v > 25, "high").otherwise("low").alias("level"), F.ifnull(F.nullif(t, F.lit("view")), F.lit("none")).alias("filled"), F.isnull(F.nullif(t, F.lit("view"))).alias("missing"),
+        F.substring(t, 1, 1).try_cast("int").alias("number"), v.cast("int").alias("whole"),
+    )
+
+
+@register("""SELECT user_id, '{"n":' || count(*) || ',"first":"' || arg_min(event_type, event_id) || '"}' AS summary, list_contains(list(event_type), 'error') AS has_error FROM events GROUP BY user_id""")
+def json_objects(spark, sf_dir):
+    grouped = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("event_type", "event_id").alias("first"), F.array_contains(F.collect_set("event_type"), "error").alias("has_error"))
+    return grouped.select("user_id", F.to_json(F.struct("n", "first")).alias("summary"), "has_error")
+
+
+@register("""SELECT nation.n_name, p.kind, p.amount FROM (SELECT c_nationkey, count(*) FILTER (c_mktsegment = 'BUILDING') AS building, count(*) FILTER (c_mktsegment = 'MACHINERY') AS machinery FROM customer GROUP BY c_nationkey)
+UNPIVOT (amount FOR kind IN (building, machinery)) p JOIN nation ON n_nationkey = c_nationkey""")
+def pivot_unpivot(spark, sf_dir):
+    wide = table(spark, sf_dir, "customer").groupBy("c_nationkey").pivot("c_mktsegment", ["BUILDING", "MACHINERY"]).count()
+    wide = wide.select("c_nationkey", F.coalesce("BUILDING", F.lit(0)).alias("building"), F.coalesce("MACHINERY", F.lit(0)).alias("machinery"))
+    long_ = wide.unpivot("c_nationkey", ["building", "machinery"], "kind", "amount")
+    return long_.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "kind", "amount")
