@@ -38,15 +38,19 @@ from .language_id import remainder
 
 MAX_SAMPLE = 24_000
 MAX_TERMS = 4096
-#: A term's least log-likelihood ratio, and least number of sampled documents.
+#: A term's least log-likelihood ratio, least number of sampled documents, and
+#: least share of toxic documents as a multiple of the whole sample's.
 LEAST_RATIO = 15.0
 LEAST_DOCS = 4
+LEAST_LIFT = 3.0
 BEGINNINGS = (4, 5, 6)
 BLOCK = 1024
 K = 32
 EPSILON = 0.05
 PRIOR_WEIGHT = 1.0
-KNOWN_WORDS = 500_000
+#: Calibration cases at which the isotonic fit has half the say.
+FIT_CASES = 50
+KNOWN_WORDS = 250_000
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -60,7 +64,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
     """(term, n, toxic): documents of the sample with a term, and the toxic ones of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             total, toxic = Counter(), Counter()
             for body, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 own = {t for w in set(_WORD.findall(body.lower())) for t in terms_of(w)}
@@ -87,7 +91,7 @@ def choose_terms(sample: DataFrame) -> list[str]:
     a, b = F.col("toxic").cast("double"), (F.col("n") - F.col("toxic")).cast("double")
     ratio = 2 * (part(a, F.col("n") * (toxic / n)) + part(b, F.col("n") * (1 - toxic / n)))
     rows = _term_counts(sample).where(F.col("n") >= LEAST_DOCS).withColumn("ratio", F.round(ratio, 6))
-    rows = rows.where((F.col("ratio") >= LEAST_RATIO) & (a / F.col("n") > toxic / n))
+    rows = rows.where((F.col("ratio") >= LEAST_RATIO) & (a / F.col("n") >= LEAST_LIFT * toxic / n))
     return [r["term"] for r in rows.orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).select("term").collect()]
 
 
@@ -108,7 +112,7 @@ def vectors(docs: DataFrame, terms: list[str], key: str, text: str) -> DataFrame
                 return got
 
         known = Known()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             ids, tfs = [], []
             for body in batch.column("text").to_pylist():
                 counts = Counter(i for w in _WORD.findall(body.lower()) for i in known[w])
@@ -201,15 +205,17 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Scorer:
     """An index with its prior, calibration and the examples' keys."""
 
-    def __init__(self, index: BlockMaxIndex, prior: float, knots: tuple[np.ndarray, np.ndarray] | None, keys: list):
-        self.index, self.prior, self.knots, self.keys = index, prior, knots, keys
+    def __init__(self, index: BlockMaxIndex, prior: float, trial: list[tuple[float, int]], keys: list):
+        self.index, self.prior, self.keys = index, prior, keys
+        # the fit counts the more the more cases it has; the rest of the score keeps the votes' order
+        self.trust = len(trial) / (len(trial) + FIT_CASES)
+        self.knots = isotonic(np.array([t[0] for t in trial]), np.array([t[1] for t in trial], float)) if trial else None
 
     def score(self, ids: list[int], tfs: list[int]) -> tuple[float, object, float]:
         """Calibrated score, nearest example's key and cosine."""
         raw, near, cosine = self.index.votes(ids, tfs, self.prior)
         if self.knots is not None and near >= 0:
-            # half calibrated, half raw: a steady fit on few cases does not flatten the order of scores
-            raw = 0.5 * raw + 0.5 * float(np.interp(raw, *self.knots))
+            raw = (1 - self.trust) * raw + self.trust * float(np.interp(raw, *self.knots))
         return min(1.0, max(0.0, raw)), self.keys[near] if near >= 0 else None, cosine
 
 
@@ -237,8 +243,7 @@ def score_documents(
     shown = [r for r in shown if r["terms"]]
     index = BlockMaxIndex(idf, [(r["terms"], r["tfs"]) for r in shown], [r["label"] for r in shown])
     trial = [(index.votes(r["terms"], r["tfs"], prior)[0], r["label"]) for r in known if r["calibrates"] and r["terms"]]
-    knots = isotonic(np.array([t[0] for t in trial]), np.array([t[1] for t in trial], float)) if len(trial) >= 20 else None
-    sent = docs.sparkSession.sparkContext.broadcast(Scorer(index, prior, knots, [r["key"] for r in shown]))
+    sent = docs.sparkSession.sparkContext.broadcast(Scorer(index, prior, trial, [r["key"] for r in shown]))
     kind = vec.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +253,7 @@ def score_documents(
             for ids, tfs in zip(batch.column("terms").to_pylist(), batch.column("tfs").to_pylist(), strict=True):
                 vector = (*ids, -1, *tfs)
                 if vector not in seen:
-                    if len(seen) >= 100_000:
+                    if len(seen) >= 50_000:
                         seen.clear()
                     seen[vector] = scorer.score(ids, tfs)
                 got.append(seen[vector])
