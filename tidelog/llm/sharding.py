@@ -61,7 +61,9 @@ def shard_records(docs: DataFrame, key: str, text: str, weights: Sequence[float]
     same = ["key", "size", "text_crc32"]
     folded = narrow.groupBy(*same).agg(F.count(F.lit(1)).alias("n"))
     placed = folded.withColumn("shard", rendezvous(F.col("key"), weights))
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64(*same), F.lit(BUCKETS)))
+    spelled = F.concat(F.coalesce(F.col("key").cast("string"), F.lit("\x00null")), F.lit(":"), F.col("size"), F.lit(":"), F.col("text_crc32"))
+    digits = F.substring(F.md5(spelled.cast("binary")), 1, 6)
+    placed = placed.withColumn("bucket", F.conv(digits, 16, 10).cast("int") % BUCKETS)
     sums = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("m"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("shard", "bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
@@ -85,3 +87,30 @@ def op3_rendezvous_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = shard_records(docs, "doc_id", "text", [1.0] * 8, [1.0] * 9)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def oracle() -> str:
+    """The same in DuckDB; CRC-32 goes byte by byte through its table."""
+    score = "('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(0) || 'null') || ':' || s), 1, 13))::BIGINT"
+    return f"""
+WITH crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+    FROM range(256) r(i))),
+raw AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+crcs AS (
+  SELECT doc_id, octet_length(encode(text)) + 1 AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(range(1, octet_length(encode(text)) + 1), lambda i: ('0x' || hex(encode(text))[2 * i - 1 : 2 * i])::BIGINT)),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM raw, crc_table),
+numbered AS (SELECT *, row_number() OVER () AS rid FROM crcs),
+scores AS (SELECT rid, s, {score} AS score FROM numbered, range(9) r(s)),
+chosen AS (
+  SELECT rid, arg_max(s, score) FILTER (s < 8) AS shard, arg_max(s, score) AS grown_shard FROM scores GROUP BY rid),
+placed AS (
+  SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(0) || 'null') || ':' || size || ':' || text_crc32), 1, 6))::BIGINT % {BUCKETS} AS bucket
+  FROM numbered JOIN chosen USING (rid))
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard::INT AS grown_shard
+FROM placed
+"""
