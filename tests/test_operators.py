@@ -220,3 +220,28 @@ def test_mysql_functions(spark):
     lit = F.lit
     got = one(spark, a=mysql.insert(lit("Quadratic"), 3, 4, "What"), b=mysql.strcmp(lit("a"), lit("b")), c=mysql.period_diff(lit(202103), lit(202012)), d=mysql.sec_to_time(lit(-3661)), e=mysql.time_to_sec(lit("-01:01:01")), f=mysql.quote(lit("it's")), g=mysql.oct_(lit(8)), h=mysql.inet_aton(lit("1.2.3")), i=mysql.avro_name(lit("9a-b")), j=mysql.from_days(lit(719529)).cast("string"), k=mysql.as_number(lit("x")))
     assert got == {"a": "QuWhattic", "b": -1, "c": 3, "d": "-01:01:01", "e": -3661, "f": "'it\\'s'", "g": "10", "h": None, "i": "_9a_b", "j": "1970-01-02", "k": None}
+
+
+def test_view_columns():
+    c = ddl.Catalogue()
+    c.apply("CREATE TABLE a (x INT, y INT); CREATE TABLE b (y INT, z INT)", "d")
+    assert c.view_columns("CREATE VIEW v AS SELECT * FROM a") == [("x", "a", "x"), ("y", "a", "y")]
+    assert c.view_columns("CREATE VIEW v AS SELECT p.x AS k, q.*, z, count(q.z) n FROM a p LEFT JOIN b AS q ON p.y = q.y WHERE 1") == [("k", "a", "x"), ("y", "b", "y"), ("z", "b", "z"), ("z", "b", "z"), ("n", None, None)]
+
+
+def test_start_sets_and_preflight(spark):
+    p = gtid.parse
+    got = one(spark, a=gtid.render(gtid.start_set(p(F.lit("u:1-3")), p(F.lit("u:1-9,v:1-2,w:5")), ["u", "v"])), b=positions.context(F.lit("f"), F.lit(4)))
+    assert got == {"a": "u:1-3,v:1-2", "b": "file=f,pos=4"}
+    from tidelog.sources.config import preflight
+
+    preflight({"binlog_format": "row"})
+    for bad in ({}, {"binlog_format": "ROW", "binlog_row_image": "minimal"}):
+        with pytest.raises(ValueError):
+            preflight(bad)
+
+
+def test_tracked_ids(spark):
+    rows = spark.createDataFrame([(0, 1, 1), (0, 2, 1), (0, 3, 2), (0, 4, 2), (0, 5, 3)], "s int, o int, n int")
+    got = positions.tracked_ids(rows, ["s"], "o", "n").orderBy("o").collect()
+    assert [(r.seen, r.restart_seen) for r in got] == [(1, None), (1, None), (2, 1), (2, 1), (3, 2)]

@@ -51,6 +51,16 @@ def snapshot(table: DataFrame, key: Sequence[str], name: str) -> DataFrame:
     return envelope(table.withColumn("_op", F.lit(READ)), key, none, image, source, F.lit(None).cast("long"), "_op")
 
 
+def snapshot_then_changes(snapshot_rows: DataFrame, changes: DataFrame, position: str) -> DataFrame:
+    """A snapshot's records before all changes: they have position -1. Works for a stream of changes too."""
+    return snapshot_rows.withColumn(position, F.lit(-1).cast(changes.schema[position].dataType)).unionByName(changes)
+
+
+def name_columns(row: Column, columns: Sequence[str], types: Sequence[str] = ()) -> Column:
+    """A row image of values by position as a struct; a shorter image leaves the rest null."""
+    return F.struct(*(F.get(row, F.lit(i)).try_cast(types[i]).alias(c) if types else F.get(row, F.lit(i)).alias(c) for i, c in enumerate(columns)))
+
+
 def expand_key_changes(changes: DataFrame, old_key: str, new_key: str, before: str, after: str, tombstones: bool = True) -> DataFrame:
     """(ordinal, key, op, before, after): a change of key becomes a delete, a tombstone and a create; other changes stay.
 

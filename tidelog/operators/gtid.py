@@ -91,6 +91,12 @@ def beginning(ids: Column) -> Column:
     return F.transform_values(ids, lambda k, v: F.array(F.struct(F.array_min(v)["lo"].alias("lo"), F.array_min(v)["lo"].alias("hi"))))
 
 
+def start_set(saved: Column, server: Column, include: list[str] | None = None) -> Column:
+    """Where a reader starts: the server's set, saved servers' sets in place of its own, of included servers alone."""
+    both = with_(server, saved)
+    return retain(both, include) if include else both
+
+
 def subtract_intervals(a: Column, b: Column) -> Column:
     """What intervals a have beyond intervals b: each interval of b cuts what is left."""
 

@@ -73,6 +73,31 @@ def window_batches(rows: DataFrame, scn: str, start: int, size: int = 10_000) ->
     return rows.withColumn("batch", F.floor((F.col(scn) - F.lit(start)) / F.lit(size)).cast("long"))
 
 
+def position_at(log: DataFrame, ts: str, position: str, when: Column) -> DataFrame:
+    """One row with the first position at or after a time; null if there is none."""
+    return log.where(F.col(ts) >= when).agg(F.min(position).alias("position"))
+
+
+def log_files(redo: DataFrame, archived: DataFrame, start: int, end: int) -> DataFrame:
+    """One file for each first change: files of both lists, (name, first_change, next_change), that overlap a half-open window."""
+    both = redo.select("name", "first_change", "next_change").union(archived.select("name", "first_change", "next_change")).distinct()
+    overlapping = both.where((F.col("first_change") < end) & (F.col("next_change") > start))
+    return overlapping.groupBy("first_change").agg(F.min("name").alias("name"), F.min("next_change").alias("next_change"))
+
+
+def tracked_ids(log: DataFrame, stream: Sequence[str], order: str, n: str) -> DataFrame:
+    """Rows with ``seen`` and ``restart_seen``: the highest transaction number with this row, and before its transaction."""
+    line = Window.partitionBy(*stream).orderBy(order)
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    seen = log.withColumn("seen", F.max(n).over(upto)).withColumn("_b", F.lag("seen").over(line))
+    return seen.withColumn("restart_seen", F.max(F.when(F.col("seen") > F.col("_b"), F.col("_b"))).over(upto)).drop("_b")
+
+
+def context(file: Column, pos: Column) -> Column:
+    """A transaction's name: where it begins."""
+    return F.concat(F.lit("file="), file, F.lit(",pos="), pos.cast("string"))
+
+
 def as_of(events: DataFrame, versions: DataFrame, key: Sequence[str], position: str, value: str) -> DataFrame:
     """Events with the last version at or before their position: one sort of both sides by key, no range join."""
     kept = [c for c in events.columns if c not in (*key, position)]

@@ -312,6 +312,44 @@ def redo_sql_parse(spark, sf_dir):
     return parsed.select("event_id", "r.op", "r.owner", "r.name", F.col("r.after")["ID"].alias("after_id"), F.col("r.after")["NOTE"].alias("after_note"))
 
 
+@register("""WITH files AS (SELECT 'redo' || (event_id % 7) AS name, event_id // 100 * 100 AS first_change, event_id // 100 * 100 + 100 AS next_change FROM events
+UNION SELECT 'arch' || (event_id % 5), event_id // 100 * 100, event_id // 100 * 100 + 100 FROM events WHERE event_id % 2 = 0)
+SELECT first_change, min(name) AS name, min(next_change) AS next_change FROM files WHERE first_change < 450 AND next_change > 150 GROUP BY first_change""")
+def logfiles_of_window(spark, sf_dir):
+    first = F.expr("event_id div 100 * 100")
+    rows = table(spark, sf_dir, "events").select("event_id", first.alias("first_change"), (first + 100).alias("next_change"))
+    redo_files = rows.withColumn("name", F.concat(F.lit("redo"), (F.col("event_id") % 7).cast("string")))
+    archived = rows.where("event_id % 2 = 0").withColumn("name", F.concat(F.lit("arch"), (F.col("event_id") % 5).cast("string")))
+    return positions.log_files(redo_files, archived, 150, 450)
+
+
+@register("SELECT min(event_id) AS position FROM events WHERE ts >= (SELECT min(ts) + INTERVAL '12 hours' FROM events)")
+def position_at_time(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "ts")
+    start = rows.agg((F.min("ts") + F.expr("INTERVAL '12' HOUR")).alias("t0"))
+    return positions.position_at(rows.join(F.broadcast(start)), "ts", "event_id", F.col("t0"))  # one row
+
+
+@register("SELECT event_id, user_id AS id, event_type AS kind, CASE WHEN event_id % 4 = 0 THEN NULL ELSE value::INT END AS amount FROM (SELECT event_id, user_id, event_type, floor(value) AS value FROM events)")
+def row_image_columns(spark, sf_dir):
+    amount = F.when(F.col("event_id") % 4 == 0, F.lit("odd")).otherwise(F.floor("value").cast("string"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.array(F.col("user_id").cast("string"), "event_type", amount).alias("row"))
+    return rows.select("event_id", changelog.name_columns(F.col("row"), ["id", "kind", "amount"], ["long", "string", "int"]).alias("r")).select("event_id", "r.*")
+
+
+@register(f"""WITH {LOG} SELECT -1 AS position, c_custkey AS "key", 'r' AS op FROM customer UNION ALL SELECT position, user_id, op FROM changes WHERE op IS NOT NULL""")
+def snapshot_then_changes(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.lit("r").alias("op"))
+    changes = _log(spark, sf_dir).where("op is not null").select("position", F.col("user_id").alias("key"), "op")
+    return changelog.snapshot_then_changes(rows, changes, "position").select("position", "key", "op")
+
+
+@register("""SELECT event_id, event_id // 10 AS seen, CASE WHEN event_id % 1000 >= 10 THEN event_id // 10 - 1 END AS restart_seen FROM events""")
+def gtid_tracking(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr("event_id div 1000").alias("f"), F.expr("event_id div 10").alias("n"))
+    return positions.tracked_ids(rows, ["f"], "event_id", "n").select("event_id", "seen", "restart_seen")
+
+
 @register("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'INTERNAL' WHEN 1 THEN 'INSERT' WHEN 2 THEN 'DELETE' WHEN 3 THEN 'UPDATE' WHEN 5 THEN 'DDL' ELSE 'UNSUPPORTED' END AS operation FROM events")
 def operation_names(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", transactions.operation_name((F.col("event_id") % 6).cast("int")).alias("operation"))

@@ -4,7 +4,7 @@
 ``spark.readStream`` understand ``format("changelog")``. Files are read in order
 of their names; a stream's offset is the number of files it has taken, at most
 ``maxFilesPerTrigger`` a batch. Lines that are no JSON objects raise an error,
-or are skipped with ``failOnError=false``.
+or are skipped with ``failOnError=false``. ``startingFile`` names the first file of a new stream.
 """
 
 from __future__ import annotations
@@ -60,6 +60,7 @@ class _Options:
         if not self.uri:
             raise ValueError("path is required")
         self.strict = options.get("failonerror", options.get("failOnError", "true")).lower() != "false"
+        self.first = options.get("startingfile", options.get("startingFile", ""))
         self.most = int(options.get("maxfilespertrigger", options.get("maxFilesPerTrigger", "1000")))
 
 
@@ -80,7 +81,7 @@ class ChangeLogStreamReader(DataSourceStreamReader):
         self.reached = None
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"files": 0}
+        return {"files": sum(f.rsplit("/", 1)[-1] < self.o.first for f in _files(self.o.uri))}
 
     def latestOffset(self) -> dict:  # noqa: N802
         there = len(_files(self.o.uri))

@@ -17,6 +17,14 @@ def interpolate(text: str, values: Mapping[str, str]) -> str:
     return "".join(out) + text[at:]
 
 
+def preflight(variables: Mapping[str, str]) -> None:
+    """Refuses a server whose log lacks whole row images; an absent row image setting means full ones."""
+    if variables.get("binlog_format", "").upper() != "ROW":
+        raise ValueError("binlog_format must be ROW")
+    if variables.get("binlog_row_image", "FULL").upper() != "FULL":
+        raise ValueError("binlog_row_image must be FULL")
+
+
 @dataclass(frozen=True)
 class Options:
     """Defaults are those of the change-log reader that this replaces."""

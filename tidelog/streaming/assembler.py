@@ -20,10 +20,13 @@ OUTPUT = "xid long, commit_scn long, scn long, payload string"
 
 
 class Assembler(StatefulProcessor):
-    """Holds a transaction's changes until it commits; drops them when it rolls back."""
+    """Holds a transaction's changes until it commits; drops them when it rolls back, or after ttl_ms without an end."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pending = handle.getListState("pending", "scn long, payload string")
+        self.pending = handle.getListState("pending", "scn long, payload string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         held: list[tuple[int, str]] = []
@@ -52,10 +55,13 @@ class Assembler(StatefulProcessor):
         pass
 
 
-def assemble(log: DataFrame) -> DataFrame:
-    """Changes of committed transactions; log: (xid, scn, code, payload) in a stream. Needs the RocksDB state store."""
+def assemble(log: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Changes of committed transactions; log: (xid, scn, code, payload) in a stream. Needs the RocksDB state store.
+
+    Without ttl_ms an open transaction waits for ever.
+    """
     rows = log.select(F.col("xid").cast("long").alias("xid"), F.col("scn").cast("long").alias("scn"), F.col("code").cast("int").alias("code"), F.col("payload").cast("string").alias("payload"))
-    return rows.groupBy("xid").transformWithStateInPandas(Assembler(), OUTPUT, "Append", "None")
+    return rows.groupBy("xid").transformWithStateInPandas(Assembler(ttl_ms), OUTPUT, "Append", "ProcessingTime" if ttl_ms else "None")
 
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

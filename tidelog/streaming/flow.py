@@ -43,6 +43,15 @@ def on_failure(rows: DataFrame, made: Column, name: str, failed: Column, mode: s
     return out.withColumn("_error", F.when(failed, F.lit(message))) if mode == "warn" else out
 
 
+def jdbc_sink(url: str, table: str, **properties: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer that appends to a table over JDBC, one commit for each partition."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.jdbc(url, table, mode="append", properties=properties)
+
+    return write
+
+
 def counted(changes: DataFrame, name: str = "changes", op: str = "op", position: str = "position") -> tuple[DataFrame, Observation]:
     """Changes with counters that an action fills: rows, rows of each operation, last position."""
     seen = Observation(name)
