@@ -55,6 +55,8 @@ def test_byte_bpe(docs, empty):
     assert byte_bpe.encode_documents(empty).count() == 0
     kept = byte_bpe.with_tokens(docs)
     assert set(kept.columns) == {*docs.columns, "n_tokens", "ids_sha256", "decoded_sha256"}
+    r = byte_bpe.with_tokens(docs.where("doc_id = 9"), with_offsets=True).first()
+    assert len(r.starts) == len(r.ends) == r.n_tokens and r.starts[0] == 0 and r.ends[-1] == len(ROWS[-1][1])
     texts = byte_bpe.decode_ids(kept.select("doc_id", "ids")).where("doc_id = 9").first().text
     assert texts == ROWS[-1][1]
 

@@ -45,7 +45,7 @@ from ._common import slices
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces that a worker remembers, and the longest it does.
-CACHE = 400_000
+CACHE = 250_000
 CACHED_CHARS = 64
 
 
@@ -138,20 +138,24 @@ def _published() -> tuple[str, str]:
 
 
 def with_tokens(
-    docs: DataFrame, text: str = "text", ranks_path: str | None = None, pattern: str | None = None, with_ids: bool = True
+    docs: DataFrame, text: str = "text", ranks_path: str | None = None, pattern: str | None = None, with_ids: bool = True, with_offsets: bool = False
 ) -> DataFrame:
-    """The documents, all columns kept, with n_tokens, digests of ids and of the decoded bytes, and the ids as 32-bit integers."""
+    """The documents, all columns kept, with n_tokens, digests of ids and of the decoded bytes, and the ids as 32-bit integers.
+
+    with_offsets: starts and ends of tokens too, in code points.
+    """
     names = docs.columns
     at = names.index(text)
     inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
     made = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")] + [("ids", "array<int>")] * with_ids
+    made += [("starts", "array<int>"), ("ends", "array<int>")] * with_offsets
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema.fields) + "".join(f", _{n} {t}" for n, t in made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, pat = _published() if ranks_path is None else (ranks_path, pattern)
         bpe = vocabulary(path, pat)
-        for batch in slices(batches, f"c{at}"):
-            n, ids_sha, decoded_sha, all_ids = [], [], [], []
+        for batch in slices(batches, f"c{at}", 2 << 20):
+            n, ids_sha, decoded_sha, all_ids, places = [], [], [], [], []
             for body in batch.column(at).to_pylist():
                 packed = bpe.encode(body or "")
                 ids = np.frombuffer(packed, "<u4")
@@ -160,9 +164,13 @@ def with_tokens(
                 decoded_sha.append(hashlib.sha256(bpe.decode_bytes(ids.tolist())).hexdigest())
                 if with_ids:
                     all_ids.append(ids.astype(np.int32))
+                if with_offsets:
+                    places.append(bpe.encode_with_offsets(body or "")[1])
             columns = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             if with_ids:
                 columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+            if with_offsets:
+                columns += [pa.array([[p[i] for p in x] for x in places], pa.list_(pa.int32())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *(f"_{m[0]}" for m in made)])
 
     taken = {m[0] for m in made}

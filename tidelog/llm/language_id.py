@@ -57,7 +57,7 @@ SCRIPTS = [
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Words whose scores a worker remembers.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 250_000
 
 
 def script_of(letter: str) -> str:
@@ -243,16 +243,15 @@ def learn(
     return Model([tuple(r) for r in rows.collect()])
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", with_spans: bool = False) -> DataFrame:
-    """The documents, all columns kept, with lang_pred, score, n_spans (and spans in code points)."""
+def _with_predictions(docs: DataFrame, model: Model, text: str, with_spans: bool) -> DataFrame:
+    """The documents with columns c0, c1, .. for their own and _pred, _score, _n_spans, _spans."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    extra = "_pred string, _score double, _n_spans long, _spans array<struct<lang:string,start:int,end:int>>"
-    names = docs.columns
-    at = names.index(text)
+    at = docs.columns.index(text)
     # cells of words and languages in a step stay bounded
-    step = max(1 << 20, (12 << 20) * 4 // max(4, len(model.langs)))
-    inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema.fields) + ", " + extra
+    step = max(1 << 19, (5 << 20) * 4 // max(4, len(model.langs)))
+    inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema.fields)
+    schema += ", _pred string, _score double, _n_spans long, _spans array<struct<lang:string,start:int,end:int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
@@ -262,18 +261,22 @@ def predict(docs: DataFrame, model: Model, text: str = "text", with_spans: bool
             more = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(n_spans, pa.int64()), pa.array(spans, kind)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_pred", "_score", "_n_spans", "_spans"])
 
-    out = inner.mapInArrow(run, schema)
-    taken = {"lang_pred", "score", "n_spans", "spans"}
-    kept = [F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n not in taken]
-    made = [F.col("_pred").alias("lang_pred"), F.col("_score").alias("score"), F.col("_n_spans").alias("n_spans")]
-    return out.select(*kept, *made, *([F.col("_spans").alias("spans")] if with_spans else []))
+    return inner.mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text", with_spans: bool = False) -> DataFrame:
+    """The documents with lang_pred, score, n_spans (and spans in code points); columns of these names of their own go."""
+    made = ["lang_pred", "score", "n_spans"] + ["spans"] * with_spans
+    kept = [F.col(f"c{i}").alias(n) for i, n in enumerate(docs.columns) if n not in made]
+    inner = {"lang_pred": "_pred", "score": "_score", "n_spans": "_n_spans", "spans": "_spans"}
+    return _with_predictions(docs, model, text, with_spans).select(*kept, *(F.col(inner[n]).alias(n) for n in made))
 
 
 def reject_unknown(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.2) -> DataFrame:
     """The documents less those without a language (no letters, or a score below least), all columns kept, lang as predicted."""
     model = learn(docs.where(remainder(F.col(key), 3) != 1), key, text, lang)
-    out = predict(docs, model, text).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return out.select(*(F.col("lang_pred").alias(lang) if c == lang else F.col(c) for c in docs.columns))
+    out = _with_predictions(docs, model, text, False).where((F.col("_pred") != UNKNOWN) & (F.col("_score") >= least))
+    return out.select(*(F.col("_pred" if c == lang else f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op7_language_viterbi(spark, sf_dir: str) -> DataFrame:
