@@ -183,7 +183,7 @@ def test_ddl():
 
 
 def test_options():
-    o = Options.from_properties({"cdc.server.name": "${n:x}", "cdc.max.batch.size": "10", "cdc.ignore.builtin": "false"}, "cdc.")
+    o = Options.from_properties({"log.server.name": "${n:x}", "log.max.batch.size": "10", "log.ignore.builtin": "false"}, "log.")
     assert (o.server_name, o.max_batch_size, o.ignore_builtin) == ("x", 10, False)
     for bad in ({"server.name": ""}, {"server.name": "a", "max.queue.size": "1"}, {"server.name": "a", "gtid.include": "x", "gtid.exclude": "y"}, {"server.name": "a", "odd": "1"}, {"server.name": "a", "binary.mode": "z"}):
         with pytest.raises(ValueError):
@@ -245,3 +245,10 @@ def test_tracked_ids(spark):
     rows = spark.createDataFrame([(0, 1, 1), (0, 2, 1), (0, 3, 2), (0, 4, 2), (0, 5, 3)], "s int, o int, n int")
     got = positions.tracked_ids(rows, ["s"], "o", "n").orderBy("o").collect()
     assert [(r.seen, r.restart_seen) for r in got] == [(1, None), (1, None), (2, 1), (2, 1), (3, 2)]
+
+
+def test_aes_and_points(spark):
+    point = F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
+    got = one(spark, back=mysql.aes_decrypt(mysql.aes_encrypt(F.lit("text"), b"a key that is longer than 16"), b"a key that is longer than 16").cast("string"), text=mysql.st_as_text(point), d=mysql.st_distance(point, F.struct(F.lit(4.0).alias("x"), F.lit(6.0).alias("y"))))
+    assert got == {"back": "text", "text": "POINT(1.0 2.0)", "d": 5.0}
+    assert mysql.aes_key(b"0123456789abcdef0") == bytes([0]) + b"123456789abcdef"

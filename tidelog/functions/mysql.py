@@ -106,3 +106,63 @@ def as_number(c: Column) -> Column:
 def avro_name(c: Column) -> Column:
     """A name with characters that Avro does not allow replaced."""
     return F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9_.]", "_"), r"^(?=\d)", "_")
+
+
+def aes_key(key: bytes) -> bytes:
+    """A key folded to 16 bytes: each byte is combined with those 16 further on."""
+    out = bytearray(16)
+    for i, b in enumerate(key):
+        out[i % 16] ^= b
+    return bytes(out)
+
+
+def aes_encrypt(c: Column, key: bytes) -> Column:
+    return F.aes_encrypt(c, F.lit(aes_key(key)), F.lit("ECB"), F.lit("PKCS"))
+
+
+def aes_decrypt(c: Column, key: bytes) -> Column:
+    return F.try_aes_decrypt(c, F.lit(aes_key(key)), F.lit("ECB"), F.lit("PKCS"))
+
+
+def makedate(year: Column, day: Column) -> Column:
+    """The day of a year; null below day 1."""
+    return F.when(day > 0, F.date_add(F.make_date(year, F.lit(1), F.lit(1)), (day - 1).cast("int")))
+
+
+def json_keys(c: Column) -> Column:
+    return F.json_object_keys(c)
+
+
+def json_length(c: Column) -> Column:
+    """Members of an array or object, 1 for a scalar; null for what is no JSON."""
+    valid = F.try_parse_json(c).isNotNull()
+    return F.when(valid, F.coalesce(F.json_array_length(c), F.when(F.json_object_keys(c).isNotNull(), F.size(F.json_object_keys(c))), F.lit(1)))
+
+
+def json_type(c: Column) -> Column:
+    """OBJECT, ARRAY, STRING, INTEGER, DOUBLE, BOOLEAN or NULL."""
+    text = F.ltrim(c)
+    return F.when(F.try_parse_json(c).isNotNull(), F.when(text.startswith("{"), "OBJECT").when(text.startswith("["), "ARRAY").when(text.startswith('"'), "STRING")
+        .when(text.isin("true", "false"), "BOOLEAN").when(text == "null", "NULL").when(text.rlike(r"^-?\d+\s*$"), "INTEGER").otherwise("DOUBLE"))
+
+
+def json_unquote(c: Column) -> Column:
+    """A JSON string's text; other values as they are."""
+    return F.when(c.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), c, F.lit("}")), "$.v")).otherwise(c)
+
+
+def json_contains_path(c: Column, *paths: str) -> Column:
+    """If one of the paths holds a value."""
+    found = F.lit(False)
+    for p in paths:
+        found = found | F.get_json_object(c, p).isNotNull()
+    return found
+
+
+def st_distance(a: Column, b: Column) -> Column:
+    """Distance in the plane of two {x, y}."""
+    return F.sqrt(F.pow(a["x"] - b["x"], F.lit(2)) + F.pow(a["y"] - b["y"], F.lit(2)))
+
+
+def st_as_text(p: Column) -> Column:
+    return F.when(p.isNotNull(), F.concat(F.lit("POINT("), p["x"].cast("string"), F.lit(" "), p["y"].cast("string"), F.lit(")")))

@@ -276,3 +276,38 @@ def pivot_unpivot(spark, sf_dir):
     wide = wide.select("c_nationkey", F.coalesce("BUILDING", F.lit(0)).alias("building"), F.coalesce("MACHINERY", F.lit(0)).alias("machinery"))
     long_ = wide.unpivot("c_nationkey", ["building", "machinery"], "kind", "amount")
     return long_.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "kind", "amount")
+
+
+@register("""SELECT o_orderkey, strftime(make_date(2000 + (o_orderkey % 20)::INT, 1, 1) + (o_orderkey % 366)::INT, '%Y-%m-%d') AS made, date_diff('hour', TIMESTAMP '1992-01-01', o_orderdate) AS hours, week(o_orderdate)::INT AS week,
+dayofweek(o_orderdate)::INT + 1 AS dow, strftime(o_orderdate - INTERVAL 3 MONTH, '%Y-%m-%d') AS before, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month_start, hour(o_orderdate)::INT AS h,
+strftime(strptime(strftime(o_orderdate, '%d/%m/%Y'), '%d/%m/%Y'), '%Y-%m-%d') AS parsed FROM orders""")
+def more_date_funcs(spark, sf_dir):
+    c, k = F.col("o_orderdate"), F.col("o_orderkey")
+    day = lambda x: F.date_format(x, "yyyy-MM-dd")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", day(mysql.makedate((k % 20 + 2000).cast("int"), k % 366 + 1)).alias("made"), F.timestamp_diff("HOUR", F.lit("1992-01-01").cast("timestamp"), c.cast("timestamp")).alias("hours"), F.weekofyear(c).alias("week"),
+        F.dayofweek(c).alias("dow"), day(F.add_months(c, -3)).alias("before"), day(F.date_trunc("month", c)).alias("month_start"), F.hour(c).alias("h"),
+        day(F.to_date(F.date_format(c, "dd/MM/yyyy"), "dd/MM/yyyy")).alias("parsed"),
+    )
+
+
+@register("""SELECT event_id, event_type || ',' || event_id AS joined, list_position(['a', event_type, 'b'], event_type)::INT AS at, rpad(event_type, 10, '*') AS padded, 'Qu' || 'What' || substr(event_type, 3) AS inserted, concat_ws(':', event_type, NULL, 'x') AS ws,
+lpad(bin(event_id % 8), 4, '0') AS bits, hex(event_id) AS hx, chr((65 + event_id % 26)::INT) AS letter, translate(event_type, 'aeiou', '12345') AS moved, length(event_type) * 8 AS bit_length, split_part(props, ':', -1) AS tail FROM events""")
+def more_string_funcs(spark, sf_dir):
+    t, e = F.col("event_type"), F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.concat(t, F.lit(","), e.cast("string")).alias("joined"), F.find_in_set(t, F.concat(F.lit("a,"), t, F.lit(",b"))).alias("at"), F.rpad(t, 10, "*").alias("padded"),
+        mysql.insert(F.concat(F.lit("Quxxxx"), F.substring(t, 3, 100)), 3, 4, "What").alias("inserted"), F.concat_ws(":", t, F.lit(None).cast("string"), F.lit("x")).alias("ws"), F.lpad(F.bin(e % 8), 4, "0").alias("bits"), F.hex(e).alias("hx"),
+        F.char(F.lit(65) + e % 26).alias("letter"), F.translate(t, "aeiou", "12345").alias("moved"), F.bit_length(t).cast("long").alias("bit_length"), F.substring_index("props", ":", -1).alias("tail"),
+    )
+
+
+@register("""SELECT event_id, 'k' AS keys, 1 AS n, 'OBJECT' AS kind, CASE event_id % 3 WHEN 0 THEN 'INTEGER' WHEN 1 THEN 'ARRAY' ELSE 'STRING' END AS kind2, CASE event_id % 3 WHEN 1 THEN 2 ELSE 1 END AS n2,
+event_type AS unquoted, true AS has_k, false AS has_z FROM events""")
+def json_funcs(spark, sf_dir):
+    e = F.col("event_id")
+    odd = F.when(e % 3 == 0, "5").when(e % 3 == 1, "[1,2]").otherwise('"x"')
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.array_join(mysql.json_keys(F.col("props")), ",").alias("keys"), mysql.json_length(F.col("props")).alias("n"), mysql.json_type(F.col("props")).alias("kind"), mysql.json_type(odd).alias("kind2"), mysql.json_length(odd).alias("n2"),
+        mysql.json_unquote(F.concat(F.lit('"'), "event_type", F.lit('"'))).alias("unquoted"), mysql.json_contains_path(F.col("props"), "$.z", "$.k").alias("has_k"), mysql.json_contains_path(F.col("props"), "$.z").alias("has_z"),
+    )
