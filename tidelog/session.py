@@ -15,6 +15,18 @@ TABLES = (
 ).split()
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """The session, its Python workers told where this package lies.
+
+    That holds where workers see the driver's files; on a cluster the package is shipped with --py-files.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, *known]))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture table; the path may be any URI that Spark's readers can open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
