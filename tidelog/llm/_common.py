@@ -45,6 +45,30 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Narrow rows (a few numbers each) up to which a side of a join is broadcast, about 100 MB; beyond, Spark shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows, marked for broadcast if they are few; counts them where their number is not given."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+
+
+#: Rows of an Arrow batch: documents are long, and a batch lies in the JVM and in Python at once.
+BATCH_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The rows, to be sent to Python in batches of BATCH_ROWS unless the session asks for smaller ones.
+
+    The setting is the session's and stays.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from ._common import slices
+from ._common import slices, small_batches
 
 # tasks are the unit of parallelism here, not the library's threads
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -175,7 +175,7 @@ def with_tokens(
 
     taken = {m[0] for m in made}
     kept = [F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n not in taken]
-    return inner.mapInArrow(run, schema).select(*kept, *(F.col(f"_{m[0]}").alias(m[0]) for m in made))
+    return small_batches(inner).mapInArrow(run, schema).select(*kept, *(F.col(f"_{m[0]}").alias(m[0]) for m in made))
 
 
 def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ASCII_LOWER, ASCII_UPPER, ascii_lower, written
+from ._common import ASCII_LOWER, ASCII_UPPER, ascii_lower, broadcast_if_small, written
 
 WINDOW = 10
 SHINGLE = 3
@@ -62,10 +62,6 @@ def _shingle(words: F.Column, at: F.Column, k: int) -> F.Column:
     return F.when(h == DOCUMENT, F.lit(1)).otherwise(h)
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def _places(docs: DataFrame, key: str, text: str, vocabulary: DataFrame, k: int, window: int) -> DataFrame:
     """Places of the vocabulary's shingles: (key, h, n_words, pos, token, around, first); around begins at word first.
 
@@ -96,14 +92,14 @@ def window_hits(
         tokens = tokens.withColumn("token", _shingle(F.col("window"), F.col("offset"), k))
         vocabulary = tokens.select("token").distinct()
         vocabulary = vocabulary.unionByName(marker) if documents is None else vocabulary
-        places = written(_places(docs, key, text, _small(vocabulary, rows), k, window), "places")
+        places = written(_places(docs, key, text, broadcast_if_small(vocabulary, rows, BROADCAST_ROWS), k, window), "places")
         documents = places.where(F.col("token") == DOCUMENT).select("key", "h", "n_words") if documents is None else documents
         places = places.where(F.col("token") != DOCUMENT)
         counts = places.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
         ordered = tokens.join(counts, "token").groupBy("window", "len", "items")
         ordered = ordered.agg(F.min(F.struct("n", "offset", "token")).alias("p"), F.countDistinct("offset").alias("there"))
         prefixes = written(ordered.where(F.col("there") == F.col("len") - k + 1).select("window", "len", "items", "p.offset", "p.token"), "prefixes")
-        found = places.join(_small(prefixes, rows), "token").withColumn("start", F.col("pos") - F.col("offset"))
+        found = places.join(broadcast_if_small(prefixes, rows, BROADCAST_ROWS), "token").withColumn("start", F.col("pos") - F.col("offset"))
         found = found.where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words")))
         held = F.slice("around", F.col("start") - F.col("first") + 1, F.col("len"))
         found = found.where(ascii_lower(F.array_join(held, " ")) == F.array_join("window", " "))
@@ -147,7 +143,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents in which no window of the benchmark occurs, all columns kept."""
     hits, _ = window_hits(docs, items, key, text, item_id, item_text, window)
-    hits = hits.select(F.col("key").alias("_k"), F.col("h").alias("_h")).distinct()
+    hits = broadcast_if_small(written(hits.select(F.col("key").alias("_k"), F.col("h").alias("_h")).distinct(), "hit"))
     return docs.join(hits, docs[key].eqNullSafe(hits["_k"]) & (F.xxhash64(docs[text]) == hits["_h"]), "left_anti")
 
 

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, slices, written
+from ._common import as_bytes, slices, small_batches, written
 
 #: The band: document frequency as a share of all documents, so idf from ln 5 to ln 1000.
 LEAST_SHARE, MOST_SHARE = 0.001, 0.2
@@ -71,7 +71,7 @@ def term_counts(docs: DataFrame, text: str) -> DataFrame:
                 yield part()
         yield part()
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return small_batches(docs.select(F.col(text).alias("text"))).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def lexicon(docs: DataFrame, text: str, least: float = LEAST_SHARE, most: float = MOST_SHARE, max_terms: int = MAX_TERMS) -> np.ndarray:
@@ -173,7 +173,7 @@ def fingerprint(docs: DataFrame, terms: np.ndarray, key: str = "doc_id", text: s
             made = [as_text(prints.of(b)) for b in as_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(made, pa.string())], ["key", "fingerprint"])
 
-    return narrow.mapInArrow(run, f"key {narrow.schema['key'].dataType.simpleString()}, fingerprint string").withColumnRenamed("key", key)
+    return small_batches(narrow).mapInArrow(run, f"key {narrow.schema['key'].dataType.simpleString()}, fingerprint string").withColumnRenamed("key", key)
 
 
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,7 +218,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
         if last is not None:
             yield out([last[0]], [blank], 2, [last[1]])
 
-    body = written(ordered.mapInArrow(run, f"key {kind}, {_MADE}, part int, edge int, text string"), "judged")
+    body = written(small_batches(ordered).mapInArrow(run, f"key {kind}, {_MADE}, part int, edge int, text string"), "judged")
     # two rows for each partition: the first row of a partition follows the last of the one before
     line = Window.orderBy("part", "edge")
     ends = body.where("edge > 0").select("key", "text", "part", "edge")

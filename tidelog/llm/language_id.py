@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import slices, small_batches
 
 #: Counts that the model keeps, over all languages.
 MAX_FEATURES = 300_000
@@ -105,7 +105,7 @@ def count_features(labelled: DataFrame, text: str, lang: str) -> DataFrame:
         if counts:
             yield features()
 
-    return narrow.mapInArrow(run, "lang string, feature string, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    return small_batches(narrow).mapInArrow(run, "lang string, feature string, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -261,7 +261,7 @@ def _with_predictions(docs: DataFrame, model: Model, text: str, with_spans: bool
             more = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(n_spans, pa.int64()), pa.array(spans, kind)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_pred", "_score", "_n_spans", "_spans"])
 
-    return inner.mapInArrow(run, schema)
+    return small_batches(inner).mapInArrow(run, schema)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", with_spans: bool = False) -> DataFrame:

@@ -1,12 +1,12 @@
 """Near-duplicate detection: MinHash with tensored banding, exact verification, connected components.
 
 A document is the set of its distinct word shingles. Documents with equal sets
-form one class. Candidates among classes come from tensored banding: HALVES
+form one class. Candidates among classes come from tensored banding: some
 small collections of ROWS minhashes each give one half key; every pair of half
 keys is a table key, so 14 x 3 = 42 minhashes make 91 tables of 6 minhashes. Two
 sets of similarity s share a table unless fewer than two of their half keys
-agree: with s = 0.85 they are missed with a chance of 4e-5, with s = 0.8 and
-one more collection pair by 2e-4, and less the more alike they are.
+agree: with s = 0.85 and 14 collections they are missed with a chance of 4e-5,
+with s = 0.8 and 16 collections (120 tables) of 2e-4, and less the more alike they are.
 
 Every class of a table's bucket is a candidate with the bucket's smallest class,
 its centre; buckets of one centre form one group, in which all further links are
@@ -40,15 +40,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, slices, written
+from ._common import as_bytes, broadcast_if_small, slices, small_batches, written
 
 ROWS = 3
 SEED = 20240229
 #: Members of a group that are compared at once: sought ones, and those they are held against.
 SOUGHT_BLOCK = 256
 HELD_BLOCK = 1024
+#: Classes whose table keys one task makes.
+CLASSES = 10_000
+#: Places over which the members of one centre are dealt.
+SALTS = 16
 #: Words whose hashes a worker remembers.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 250_000
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15)
 _S33 = np.uint64(33)
@@ -105,7 +109,7 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int, halves: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, multipliers = _Words(), _multipliers(halves)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             n, cls, keys = [], [], []
             for body in as_bytes(batch.column("text")):
                 s = shingle_set(body, words, shingle)
@@ -117,25 +121,25 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int, halves: int)
                 ["key", "th", "n", "cls", "halves"],
             )
 
-    return narrow.mapInArrow(run, schema)
+    return small_batches(narrow).mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, key: str, text: str, shingle: int, wanted: DataFrame) -> DataFrame:
     """(cid, n, items) of the wanted classes; wanted: (cid, key, th) of a document of each."""
-    wanted = wanted.select("cid", F.col("key").alias("wk"), F.col("th").alias("wth"))
+    wanted = broadcast_if_small(wanted.select("cid", F.col("key").alias("wk"), F.col("th").alias("wth")))
     keyed = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     rows = keyed.join(wanted, F.col("key").eqNullSafe(F.col("wk")) & (F.col("th") == F.col("wth"))).select("cid", "text")
     rows = rows.groupBy("cid").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             sets = [shingle_set(b, words, shingle).view(np.int64) for b in as_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("cid"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cid", "n", "items"]
             )
 
-    return rows.mapInArrow(run, "cid long, n long, items array<long>")
+    return small_batches(rows).mapInArrow(run, "cid long, n long, items array<long>")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -210,11 +214,13 @@ def near_components(
     # tables: one key for each two half keys
     h = F.col("halves")
     tables = F.array(*(F.xxhash64(F.lit(i * halves + j), h[i], h[j]) for i in range(halves) for j in range(i + 1, halves)))
-    keyed = classes.select("cid", F.explode(tables).alias("bucket"))
+    # a task sums up the keys of so many classes as fit in its memory
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() // CLASSES))
+    keyed = classes.select("cid", "halves").repartition(parts).select("cid", F.explode(tables).alias("bucket"))
     centres = keyed.groupBy("bucket").agg(F.min("cid").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket", "centre")
     stars = written(keyed.join(centres, "bucket").where("cid <> centre").select("cid", "centre").distinct(), "stars")
     members = stars.unionByName(stars.select(F.col("centre").alias("cid"), "centre").distinct())
-    wanted = members.select("cid").distinct().join(classes.select("cid", "key", "th"), "cid")
+    wanted = written(members.select("cid").distinct().join(classes.select("cid", "key", "th"), "cid"), "wanted")
     sets = written(_sets(docs, key, text, shingle, wanted), "sets")
     # links with the centre
     with_own = stars.join(sets, "cid")
@@ -234,7 +240,9 @@ def near_components(
         F.ceil((F.col("m") - F.col("top.m")) / SOUGHT_BLOCK).cast("int").alias("sb"),
         F.ceil(F.col("m") / HELD_BLOCK).cast("int").alias("hb"),
     )
-    open_ = marked.join(largest, "centre").withColumn("x", F.xxhash64("cid"))
+    # a hot centre's members meet its one row at SALTS places
+    salted = largest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    open_ = marked.withColumn("x", F.xxhash64("cid")).withColumn("salt", F.pmod("x", F.lit(SALTS)).cast("int")).join(salted, ["centre", "salt"]).drop("salt")
     held = open_.select("cid", "label", "centre", F.lit(False).alias("sought"), F.explode(F.sequence(F.lit(0), F.col("sb") - 1)).alias("s"), F.pmod("x", "hb").cast("int").alias("t"))
     sought = open_.where("label <> top").select(
         "cid", "label", "centre", F.lit(True).alias("sought"), F.pmod("x", "sb").cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.col("hb") - 1)).alias("t")
@@ -263,7 +271,7 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The documents less all but one of each component, all columns kept; of rows with one key and text one stays."""
     out = written(near_components(docs, key, text, shingle, num, den, halves), "components")
-    gone = out.where(~F.col("kept")).select(F.col(key).alias("_k"), F.col("th").alias("_h")).distinct()
+    gone = broadcast_if_small(out.where(~F.col("kept")).select(F.col(key).alias("_k"), F.col("th").alias("_h")).distinct())
     left = docs.join(gone, docs[key].eqNullSafe(gone["_k"]) & (F.xxhash64(docs[text]) == gone["_h"]), "left_anti")
     repeated = out.where("kept and n_shingles > 0").groupBy(key, "th").count().where("count > 1").limit(1).count()
     return left.dropDuplicates([key, text]) if repeated else left
@@ -273,3 +281,22 @@ def op4_tensored_minhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on 3-word shingles at 0.85."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_components(docs, shingle=3, num=85, den=100, halves=14).drop("th")
+
+
+def oracle() -> str:
+    """The same in DuckDB for distinct doc_ids: all pairs that share a shingle, and components by reachability."""
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all({lowered}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s
+  FROM worded, unnest(range(1, 2 + greatest(0, len(w) - 3))) AS u(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reached.a, both_ways.b FROM reached JOIN both_ways ON reached.b = both_ways.a),
+least_of AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM least_of LEFT JOIN sizes USING (doc_id)
+"""

@@ -36,6 +36,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_rendezvous_sharding": sharding.oracle(),
+        "op4_tensored_minhash": near_dedup.oracle(),
+        "op5_warc": warc.oracle(),
         "op6_url_vocabulary": url_filter.oracle(),
         "op8_prefix_decontamination": decontamination.oracle(),
     }

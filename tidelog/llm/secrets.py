@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes
+from ._common import as_bytes, small_batches
 
 KINDS = ("assign", "access", "hex", "pair")
 #: How sensitive a word in a target's name is.
@@ -208,7 +208,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
                 ["key", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
             )
 
-    return narrow.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return small_batches(narrow).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
@@ -225,7 +225,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str = "n_chars"
                 arrays[at] = pa.array([x.encode() if isinstance(x, str) else x for x in new], pa.binary()).cast(batch.column(at).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = small_batches(docs).mapInArrow(run, docs.schema)
     if n_chars in columns:
         out = out.withColumn(n_chars, F.when(F.col(text).isNull(), F.col(n_chars)).otherwise(F.char_length(text)).cast(docs.schema[n_chars].dataType))
     return out.select(*columns)

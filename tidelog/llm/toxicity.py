@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, written
+from ._common import slices, small_batches, written
 from .language_id import remainder
 
 MAX_SAMPLE = 24_000
@@ -75,7 +75,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
                 [pa.array(list(total), pa.string()), pa.array(total.values(), pa.int64()), pa.array([toxic[t] for t in total], pa.int64())], ["term", "n", "toxic"]
             )
 
-    rows = sample.select(F.coalesce("text", F.lit("")).alias("text"), "label").mapInArrow(run, "term string, n long, toxic long")
+    rows = small_batches(sample.select(F.coalesce("text", F.lit("")).alias("text"), "label")).mapInArrow(run, "term string, n long, toxic long")
     return rows.groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
 
@@ -122,7 +122,7 @@ def vectors(docs: DataFrame, terms: list[str], key: str, text: str) -> DataFrame
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, kind), pa.array(tfs, kind)], ["key", "terms", "tfs"])
 
-    return narrow.mapInArrow(run, schema)
+    return small_batches(narrow).mapInArrow(run, schema)
 
 
 class BlockMaxIndex:

@@ -41,7 +41,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, scratch_path
+from ._common import scratch_path, small_batches
 
 LEAST_PAYLOAD = 0
 #: Compressed bytes at which a file is closed, and payload bytes of a range.
@@ -209,7 +209,7 @@ def write_warc(
         writer.close()
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in writer.done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], ["name", "records", "bytes", "sha256"])
 
-    ordered.mapInArrow(run, _MANIFEST).write.parquet(f"{uri}/manifest")
+    small_batches(ordered).mapInArrow(run, _MANIFEST).write.parquet(f"{uri}/manifest")
     jvm = spark.sparkContext._jvm
     left = jvm.org.apache.hadoop.fs.Path(f"{uri}/temporary")
     left.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(left, True)
