@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.test_queries import canonical
-from tidelog.llm import byte_bpe, decontamination, imatch, language_id, near_dedup, registry, secrets, sharding, toxicity, warc
+from tidelog.llm import _common, byte_bpe, decontamination, imatch, language_id, near_dedup, registry, secrets, sharding, toxicity, warc
 from tidelog.session import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -201,6 +201,19 @@ def test_near_duplicates_in_a_hot_group(spark, monkeypatch):
     assert len(set(expected.values())) < 160
 
 
+def test_without_broadcasts(spark, texts, monkeypatch):
+    """Sides that are too large to broadcast are shuffled, with the same results."""
+    monkeypatch.setattr(_common, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", -1)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    expected = components({d: shingles(t, 5) for d, t in texts.items()}, 80, 100)
+    left = near_dedup.drop_near_duplicates(docs)
+    assert {r.doc_id for r in left.select("doc_id").collect()} == {d for d in texts if expected[d] == d}
+    hit = {r.doc_id for r in decontamination.contamination(docs, items).where("contaminated").collect()}
+    assert {r.doc_id for r in decontamination.drop_contaminated(docs, items).select("doc_id").collect()} == set(texts) - hit
+
+
 def test_connected_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(30)]
@@ -289,9 +302,10 @@ def test_decontamination_at_window_edges(spark):
 
 def test_lower_casing_of_other_scripts_does_not_hit(spark):
     item = " ".join(["étude"] * 2 + [f"ß{i}" for i in range(9)])
-    docs = [(0, item), (1, item.replace("étude", "Étude")), (2, item.upper().replace("SS", "ß").replace("ÉTUDE", "éTUDE"))]
+    # windows of ten words hold an "étude" each; É is another letter than é, E is the same as e
+    docs = [(0, item), (1, item.replace("étude", "Étude")), (2, item.replace("étude", "éTUDE"))]
     got = {r.doc_id: r.contaminated for r in decontamination.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
-    assert got == {0: True, 1: False, 2: True} or got[1] is True and "ß0" in docs[1][1]
+    assert got == {0: True, 1: False, 2: True}
 
 
 def test_block_max_search_is_exact():

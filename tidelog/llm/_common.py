@@ -49,8 +49,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int | None = None) -> DataFrame:
     """The rows, marked for broadcast if they are few; counts them where their number is not given."""
+    limit = BROADCAST_ROWS if limit is None else limit
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
 
 
