@@ -130,6 +130,13 @@ def test_stitch_and_savepoints(spark):
     assert sorted(r.scn for r in transactions.cancel_savepoints(log, ["k"], "scn", "op", "undo").collect()) == [1]
 
 
+def test_large_objects_join_their_row(spark):
+    changes = spark.createDataFrame([("x", {"id": "1", "note": None}), ("y", {"id": "2"}), ("z", None)], "k string, after map<string,string>")
+    lobs = spark.createDataFrame([("x", "note", "long"), ("x", "body", "b"), ("z", "note", "n")], "k string, c string, t string")
+    got = {r.k: r.after for r in transactions.merge_lobs(changes, lobs, ["k"], "c", "t").collect()}
+    assert got == {"x": {"id": "1", "note": "long", "body": "b"}, "y": {"id": "2"}, "z": {"note": "n"}}
+
+
 def test_merge_twice_changes_nothing(spark):
     changes = spark.createDataFrame([(1, 1, "c", 10), (2, 1, "u", 11), (3, 2, "c", 5), (4, 2, "d", None)], "p int, k int, op string, v int")
     state = materialize.latest_state(changes, ["k"], "p", "op", ["v"])

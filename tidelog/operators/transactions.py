@@ -62,6 +62,15 @@ def assemble_lobs(chunks: DataFrame, key: Sequence[str], order: str, text: str,
     return grouped.select(*key, "chunks", F.array_join(F.col("p.t"), sep).alias("text"))
 
 
+def merge_lobs(changes: DataFrame, lobs: DataFrame, key: Sequence[str], column: str, text: str, after: str = "after") -> DataFrame:
+    """Changes with their large objects put into the after image, a map of columns; lobs: one row for each key and column."""
+    filled = lobs.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(column, text))).alias("_lobs"))
+    names = F.map_keys(F.col("_lobs"))
+    kept = F.map_filter(F.coalesce(F.col(after), F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(names, k))
+    merged = F.when(F.col("_lobs").isNull(), F.col(after)).otherwise(F.map_concat(kept, F.col("_lobs")))
+    return changes.join(filled, list(key), "left").withColumn(after, merged).drop("_lobs")
+
+
 def cancel_savepoints(changes: DataFrame, key: Sequence[str], scn: str, op: str, undo: str) -> DataFrame:
     """Changes less those that a savepoint rollback undid: an undo row cancels the nearest change before it of its inverse operation.
 
