@@ -46,7 +46,7 @@ ROWS = 3
 SEED = 20240229
 #: Members of a group that are compared at once: sought ones, and those they are held against.
 SOUGHT_BLOCK = 256
-HELD_BLOCK = 1024
+HELD_BLOCK = 512
 #: Classes whose table keys one task makes.
 CLASSES = 10_000
 #: Places over which the members of one centre are dealt.
