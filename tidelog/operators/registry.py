@@ -13,12 +13,13 @@ from ..functions.ddl import Catalogue, Table
 _VERSION = "position long, db string, table string, kind string, columns int, definition string"
 
 
-def replay(history: DataFrame, server: Sequence[str], position: str, sql: str, db: str) -> DataFrame:
+def replay(history: DataFrame, server: Sequence[str], position: str, sql: str, db: str, definitions: bool = True) -> DataFrame:
     """(server, position, db, table, kind, columns, definition): what each statement did, with the table as it is after it.
 
     Statements of one server depend on each other, so each server's history is
     read in order by one task; a history has as many rows as there were schema
     statements, not as there were changes. Statements that cannot be read are kept as ``unparsed``.
+    Without definitions that column is null, which spares writing wide tables out after each statement.
     """
     rows = history.select(*server, F.col(position).cast("long").alias("position"), F.col(sql).alias("sql"), F.col(db).alias("db"))
     fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in server)
@@ -28,7 +29,7 @@ def replay(history: DataFrame, server: Sequence[str], position: str, sql: str, d
         for at, sql_, db_ in pdf.sort_values("position")[["position", "sql", "db"]].itertuples(index=False):
             for e in catalogue.apply(sql_, db_):
                 table = catalogue.tables.get((e.db, e.table))
-                out.append((at, e.db, e.table, e.kind, len(table.columns) if table else 0, table.as_json() if table else None))
+                out.append((at, e.db, e.table, e.kind, len(table.columns) if table else 0, table.as_json() if table and definitions else None))
         made = pd.DataFrame(out, columns=["position", "db", "table", "kind", "columns", "definition"])
         for i, c in enumerate(server):
             made.insert(i, c, pdf[c].iloc[0])

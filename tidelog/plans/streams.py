@@ -49,4 +49,4 @@ def ddl_replay(spark, sf_dir):
     create = F.lit("CREATE TABLE IF NOT EXISTS t (id INT(11) UNSIGNED AUTO_INCREMENT, PRIMARY KEY (`id`)) ENGINE=InnoDB")
     sql = F.when(F.col("event_type") == "signup", create).when(F.col("event_type") == "error", "DROP TABLE IF EXISTS shop.t").otherwise(add)
     history = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("server"), F.col("event_id").alias("position"), sql.alias("sql"), F.lit("shop").alias("db"))
-    return registry.replay(history, ["server"], "position", "sql", "db").select("server", "position", "kind", "columns")
+    return registry.replay(history, ["server"], "position", "sql", "db", definitions=False).select("server", "position", "kind", "columns")
