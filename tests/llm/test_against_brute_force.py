@@ -341,6 +341,16 @@ def test_toxicity_holds_out(spark):
     assert hit / sum(label[r.doc_id] for r in out) > 0.85 and hit / sum(r.predicted for r in out) > 0.8
 
 
+@pytest.mark.parametrize("toxic", [40, 60])
+def test_toxicity_where_many_labels_are_toxic(spark, toxic):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(200)]
+    rows = [(i, " ".join(rng.choices(words, k=30) + ["vile", "scum"] * (i % 100 < toxic)), int(i % 100 < toxic)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scores = {r.doc_id: r.score for r in toxicity.score_documents(docs.drop("toxic"), docs.where("doc_id < 500").drop("text")).collect()}
+    assert all((scores[i] >= 0.3) == bool(label) for i, _, label in rows if i >= 500)
+
+
 _KINDS = {
     "assign": (r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A, lambda m: len(m[1]) >= 6),
     "access": (r"AKIA[A-Z0-9]+", 0, lambda m: len(m[0]) >= 20),

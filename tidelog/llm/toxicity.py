@@ -39,10 +39,10 @@ from .language_id import remainder
 MAX_SAMPLE = 24_000
 MAX_TERMS = 4096
 #: A term's least log-likelihood ratio, least number of sampled documents, and
-#: least share of toxic documents as a multiple of the whole sample's.
+#: least odds of the toxic label as a multiple of the whole sample's.
 LEAST_RATIO = 15.0
 LEAST_DOCS = 4
-LEAST_LIFT = 3.0
+LEAST_ODDS = 3.0
 BEGINNINGS = (4, 5, 6)
 BLOCK = 1024
 K = 32
@@ -91,7 +91,8 @@ def choose_terms(sample: DataFrame) -> list[str]:
     a, b = F.col("toxic").cast("double"), (F.col("n") - F.col("toxic")).cast("double")
     ratio = 2 * (part(a, F.col("n") * (toxic / n)) + part(b, F.col("n") * (1 - toxic / n)))
     rows = _term_counts(sample).where(F.col("n") >= LEAST_DOCS).withColumn("ratio", F.round(ratio, 6))
-    rows = rows.where((F.col("ratio") >= LEAST_RATIO) & (a / F.col("n") >= LEAST_LIFT * toxic / n))
+    # an odds ratio has no upper end, whatever the share of toxic labels; a multiple of the share has
+    rows = rows.where((F.col("ratio") >= LEAST_RATIO) & (a * (n - toxic) >= LEAST_ODDS * b * toxic))
     return [r["term"] for r in rows.orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).select("term").collect()]
 
 
