@@ -167,3 +167,15 @@ def test_secrets(docs, empty):
     assert r.text == 'cfg [SECRET]" é end' and r.n_chars == len(r.text)
     assert left.where("text is null and n_chars is null").count() == 2
     assert isinstance(left.schema["n_chars"].dataType, T.LongType)
+
+
+def test_samples_count_documents(spark):
+    """A repeated document with the lowest hash takes one place of a sample, not all."""
+    ids = [r.i for r in spark.range(60).select(F.col("id").alias("i")).orderBy(F.xxhash64("id")).collect()]
+    rows = [(i, f"ein kleines wort {i}", "de", 0) if n % 2 else (i, f"some vile words here {i}", "en", 1) for n, i in enumerate(ids)]
+    once = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    copies = once.unionByName(once.where(f"doc_id = {ids[0]}").crossJoin(spark.range(500).drop("id")))
+    few, many = (language_id.learn(d, max_docs=20) for d in (once, copies))
+    assert many.langs == few.langs == ["de", "en"] and many.index == few.index and (many.scores == few.scores).all()
+    few, many = ({(r.doc_id, r.nearest) for r in toxicity.score_documents(d, once.select("doc_id", "toxic"), max_sample=50).collect()} for d in (once, copies))
+    assert many == few and len({near for _, near in many}) > 1

@@ -15,7 +15,7 @@ counts, the most frequent.
 
 Edge cases: a null text, one without letters, or no learned language give ``und``
 with score 0; a null doc_id is not learned from and not held out; repeated rows
-are learned from and predicted each by itself; empty tables give empty results;
+are learned from once and predicted each by itself; empty tables give empty results;
 further columns are ignored, whatever their names.
 """
 
@@ -238,8 +238,9 @@ def learn(
 ) -> Model:
     """A model of labelled documents, of at most max_docs of them (and those that share the last one's hash)."""
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    last = usable.select(F.xxhash64(key).alias("x")).orderBy("x").limit(max_docs).agg(F.max("x")).first()[0]
-    rows = count_features(usable.where(F.xxhash64(key) <= F.lit(last)), text, lang).orderBy(F.desc(F.col("feature").startswith("script:")), F.desc("n"), "lang", "feature").limit(max_features)
+    last = usable.select(F.xxhash64(key).alias("x")).distinct().orderBy("x").limit(max_docs).agg(F.max("x")).first()[0]
+    sample = usable.where(F.xxhash64(key) <= F.lit(last)).select(key, text, lang).distinct()
+    rows = count_features(sample, text, lang).orderBy(F.desc(F.col("feature").startswith("script:")), F.desc("n"), "lang", "feature").limit(max_features)
     return Model([tuple(r) for r in rows.collect()])
 
 

@@ -18,8 +18,9 @@ isotonic fit on the calibration part turns votes into scores.
 Edge cases: a null or empty text, and one without chosen terms, has the score of
 documents without terms; a null doc_id is not learned from and not held out; of a
 document labelled twice the higher label counts; without labels of both kinds all
-scores are the share of toxic labels (0 without any); repeated rows are scored
-each by itself; empty tables give empty results; further columns are ignored.
+scores are the share of toxic labels (0 without any); repeated rows are learned
+from once and scored each by itself; of a document with several texts the further
+ones are learned from as far as MAX_SAMPLE again has room; empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import slices, small_batches, written
@@ -228,8 +229,8 @@ def score_documents(
     marks = marks.groupBy("key").agg(F.max("label").alias("label")).orderBy(F.xxhash64("key"), "key").limit(max_sample)
     role = (F.pmod(F.xxhash64(F.col("key"), F.lit("role")), F.lit(6)) == 0).alias("calibrates")
     marks = written(marks.select("key", "label", role), "marks")
-    # at most max_sample rows
-    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(marks), "key")
+    # marks: at most max_sample rows
+    sample = written(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(marks), "key").distinct(), "sample")
     terms = choose_terms(sample.where("not calibrates"))
     vec = written(vectors(docs, terms, key, text), "vectors")
     counted = vec.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -237,7 +238,10 @@ def score_documents(
     idf = np.zeros(len(terms))
     for r in counted:
         idf[r["t"]] = np.log(1 + total / r["n"])
-    known = vec.join(F.broadcast(marks), "key").orderBy(F.xxhash64("key"), "key", "terms").limit(2 * max_sample).collect()
+    # every document's first vector comes before any document's second
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("terms", "tfs"))
+    known = vec.join(F.broadcast(marks), "key").distinct().withColumn("nth", nth).where(F.col("nth") <= 2 * max_sample)
+    known = known.orderBy("nth", F.xxhash64("key"), "key").limit(2 * max_sample).collect()
     shown = [r for r in known if not r["calibrates"]]
     bare = [r["label"] for r in shown if not r["terms"]]
     prior = float(np.mean(bare)) if bare else float(np.mean([r["label"] for r in shown])) if shown else 0.0
