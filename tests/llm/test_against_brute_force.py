@@ -328,6 +328,26 @@ def test_block_max_search_is_exact():
         assert np.allclose(cosines, cosine[expected], atol=1e-8) and found.tolist() == expected
 
 
+def language_model():
+    rows = [(lang, f, 50) for lang, text in (("en", "the house is here"), ("zh", "天地玄黄宇宙洪荒")) for w in text.split() for f in language_id.grams(w)]
+    return language_id.Model([*rows, ("en", "script:latin", 9000), ("zh", "script:han", 9000), ("zh", "script:latin", 10)])
+
+
+def test_language_scripts_exclude():
+    scorer = language_id.Scorer(language_model())
+    for n in (1, 4):
+        text = "the house is here " * 5 + "天地玄黄 " * n + "the house is here " * 5
+        (spans,) = language_id._predicted([text], scorer, True)[3]
+        assert [x["lang"] for x in spans] == ["en", "zh", "en"]
+    text = ("the house is here " + ("天地玄黄宇宙洪荒天地玄黄宇宙洪" * 2 + " ") * 2) * 20
+    pred, _, n_spans, _ = language_id._predicted([text], scorer, False)
+    assert pred == ["zh"] and n_spans == [40]
+    # a script that no language has leaves all of them
+    assert np.isfinite(language_model().word_scores(["αβγ"])).all()
+    # long words carry weight
+    assert language_model().word_scores(["宇宙洪荒" * 8, "the"])[0].min() == -np.inf
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.4]), np.array([0.0, 1.0, 0.0, 1.0, 1.0]))
     assert np.all(np.diff(y) >= 0) and np.interp(0.25, x, y) == 0.5 and y[-1] == 1.0

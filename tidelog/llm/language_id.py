@@ -3,7 +3,7 @@
 A text's words are runs of letters. Each word has a script (that of its first
 letter) and, for every learned language, the log likelihood of its character
 trigrams; languages in which that script is next to absent are no candidates for
-the word. A Viterbi pass over the words with one penalty for any switch of
+the word, unless all are. A Viterbi pass over the words with one penalty for any switch of
 language gives every word its label, so a text of several languages falls into
 spans. The document's language is the one with the most letters; the
 score is its share of the letters times its posterior over the labelled words.
@@ -37,9 +37,11 @@ from ._common import slices, small_batches
 MAX_FEATURES = 300_000
 #: Labelled documents that are learned from.
 MAX_DOCS = 20_000
-#: Cost of a switch, and how far below the best a word may put a language, in nats.
+#: Cost of a switch, and how far below the best a word may put a candidate, in nats; a word
+#: of more than FLOOR_LETTERS letters by as much more as it is longer.
 SWITCH = 14.0
 FLOOR = 6.0
+FLOOR_LETTERS = 8
 #: A language's share of letters in a script from which it is a candidate there.
 SCRIPT_SHARE = 0.005
 UNKNOWN = "und"
@@ -129,7 +131,7 @@ class Model:
         self.closed = {s: v / np.maximum(of_all, 1) < SCRIPT_SHARE for s, v in letters.items()}
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        """Each word's score for each language, the best at 0 and none below -FLOOR."""
+        """Each word's score for each language, the best at 0; -inf for languages without its script."""
         none = len(self.index)
         ids, lengths = [], []
         for w in words:
@@ -144,7 +146,8 @@ class Model:
                 if own:
                     out[np.ix_(own, np.flatnonzero(shut))] = -np.inf
         out -= out.max(1, keepdims=True)
-        return np.maximum(out, -FLOOR)
+        floor = -FLOOR * np.maximum(1.0, np.array([len(w) for w in words], np.float32) / FLOOR_LETTERS)
+        return np.where(np.isneginf(out), out, np.maximum(out, floor[:, None].astype(np.float32)))
 
 
 class Scorer:
