@@ -348,6 +348,22 @@ def test_language_scripts_exclude():
     assert language_model().word_scores(["宇宙洪荒" * 8, "the"])[0].min() == -np.inf
 
 
+def test_language_reads_whole_runs():
+    scorer = language_id.Scorer(language_model())
+    text = "house" + "天地玄黄宇宙洪荒" * 50 + "house" * 40
+    (spans,) = language_id._predicted([text], scorer, True)[3]
+    assert [(x["lang"], x["start"], x["end"]) for x in spans] == [("en", 0, 5), ("zh", 5, 405), ("en", 405, 605)]
+    words = language_id.words_of(text)
+    assert "".join(words) == text and max(map(len, words)) == language_id.PIECE
+    assert language_id.words_of("naïve e\u0301te\u0301 Москва") == ["naïve", "e\u0301te\u0301", "Москва"]
+
+
+def test_language_keeps_features_of_rare_languages(spark):
+    rows = [(i, f"common words {i:03d} of many kinds are here again", "en") for i in range(300)] + [(1000, "xyzzy plugh", "xx")]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_features=24)
+    assert model.langs == ["en", "xx"] and "xyz" in model.index
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.4]), np.array([0.0, 1.0, 0.0, 1.0, 1.0]))
     assert np.all(np.diff(y) >= 0) and np.interp(0.25, x, y) == 0.5 and y[-1] == 1.0

@@ -1,6 +1,7 @@
 """Language identification: script ranges narrow the candidates, Viterbi labels spans.
 
-A text's words are runs of letters. Each word has a script (that of its first
+A text's words are runs of letters, cut where the script changes and into pieces
+of at most PIECE letters (PIECE_UNSPACED in scripts without blanks). Each word has a script (that of its first
 letter) and, for every learned language, the log likelihood of its character
 trigrams; languages in which that script is next to absent are no candidates for
 the word, unless all are. A Viterbi pass over the words with one penalty for any switch of
@@ -11,7 +12,7 @@ score is its share of the letters times its posterior over the labelled words.
 Learning takes a bounded sample of the labelled documents: the MAX_DOCS with the
 lowest hashes of their ids, whole. It counts their trigrams and scripts with
 partial sums on the executors; what reaches the driver is at most MAX_FEATURES
-counts, the most frequent.
+counts, the most frequent of each language in turn.
 
 Edge cases: a null text, one without letters, or no learned language give ``und``
 with score 0; a null doc_id is not learned from and not held out; repeated rows
@@ -22,18 +23,20 @@ further columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import slices, small_batches
 
-#: Counts that the model keeps, over all languages.
+#: Counts that the model keeps, over all languages: each language's first, then each one's second, and so on.
 MAX_FEATURES = 300_000
 #: Labelled documents that are learned from.
 MAX_DOCS = 20_000
@@ -44,6 +47,10 @@ FLOOR = 6.0
 FLOOR_LETTERS = 8
 #: A language's share of letters in a script from which it is a candidate there.
 SCRIPT_SHARE = 0.005
+#: Letters of a word at most.
+PIECE = 64
+PIECE_UNSPACED = 16
+UNSPACED = frozenset(("han", "kana", "thai", "khmer"))
 UNKNOWN = "und"
 
 # First and last code points of scripts.
@@ -68,6 +75,32 @@ def script_of(letter: str) -> str:
     return next((name for name, a, z in SCRIPTS if a <= c <= z), "other")
 
 
+@lru_cache(1 << 16)
+def _cut(run: str) -> tuple[str, ...]:
+    """A run of letters as words of one script each; marks and modifier letters go with what they follow."""
+    out, start, script = [], 0, script_of(run[0])
+    for i, c in enumerate(run):
+        own = script if unicodedata.category(c) in ("Mn", "Mc", "Me", "Lm") else script_of(c)
+        if own != script or i - start >= (PIECE_UNSPACED if script in UNSPACED else PIECE):
+            out.append(run[start:i])
+            start, script = i, own
+    return (*out, run[start:])
+
+
+def words_of(text: str) -> list[str]:
+    """A text's words in order."""
+    out: list[str] = []
+    for w in _WORD.findall(text):
+        if len(w) <= PIECE:
+            if w.isascii():
+                out.append(w)
+            else:
+                out += _cut(w)
+        else:
+            out += _cut.__wrapped__(w)
+    return out
+
+
 def grams(word: str) -> list[str]:
     """Character trigrams of a word with its ends marked."""
     w = f"<{word}>"
@@ -90,7 +123,7 @@ def count_features(labelled: DataFrame, text: str, lang: str) -> DataFrame:
             total: Counter = Counter()
             for name, words in counts.items():
                 for w, n in words.items():
-                    for g in grams(w[:64]):
+                    for g in grams(w):
                         total[name, g] += n
                     total[name, "script:" + script_of(w[0])] += n * len(w)
             counts.clear()
@@ -101,7 +134,7 @@ def count_features(labelled: DataFrame, text: str, lang: str) -> DataFrame:
 
         for batch in slices(batches, "text"):
             for name, body in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                counts.setdefault(name, Counter()).update(_WORD.findall(body.lower()))
+                counts.setdefault(name, Counter()).update(words_of(body.lower()))
             if sum(map(len, counts.values())) > KNOWN_WORDS:
                 yield features()
         if counts:
@@ -135,7 +168,7 @@ class Model:
         none = len(self.index)
         ids, lengths = [], []
         for w in words:
-            g = [self.index.get(x, none) for x in grams(w[:64])]
+            g = [self.index.get(x, none) for x in grams(w)]
             ids += g
             lengths.append(len(g))
         starts = np.r_[0, np.cumsum(lengths)[:-1]]
@@ -207,7 +240,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
 
 def _predicted(texts: list[str | None], scorer: Scorer, with_spans: bool) -> tuple[list[str], list[float], list[int], list[list]]:
     langs = scorer.model.langs
-    listed = [_WORD.findall(x.lower()) if x else [] for x in texts] if langs else [[] for _ in texts]
+    listed = [words_of(x.lower()) if x else [] for x in texts] if langs else [[] for _ in texts]
     lengths = np.array([len(x) for x in listed], np.int64)
     words = [w for x in listed for w in x]
     pred, share, n_spans = [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts)
@@ -229,7 +262,12 @@ def _predicted(texts: list[str | None], scorer: Scorer, with_spans: bool) -> tup
         cuts = np.flatnonzero(np.diff(own)) + 1
         n_spans[i] = len(cuts) + 1
         if with_spans:
-            places = [m.span() for m in _WORD.finditer(texts[i])]
+            places = []
+            for m in _WORD.finditer(texts[i]):
+                at = m.start()
+                for w in words_of(m[0]):
+                    places.append((at, at + len(w)))
+                    at += len(w)
             if len(places) == len(own):  # else lower-casing moved a word's edge
                 for x, y in zip([0, *cuts], [*cuts, len(own)], strict=True):
                     all_spans[i].append({"lang": langs[own[x]], "start": places[x][0], "end": places[y - 1][1]})
@@ -243,8 +281,10 @@ def learn(
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     last = usable.select(F.xxhash64(key).alias("x")).distinct().orderBy("x").limit(max_docs).agg(F.max("x")).first()[0]
     sample = usable.where(F.xxhash64(key) <= F.lit(last)).select(key, text, lang).distinct()
-    rows = count_features(sample, text, lang).orderBy(F.desc(F.col("feature").startswith("script:")), F.desc("n"), "lang", "feature").limit(max_features)
-    return Model([tuple(r) for r in rows.collect()])
+    rows = count_features(sample, text, lang)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.col("feature").startswith("script:")), F.desc("n"), "feature"))
+    rows = rows.withColumn("nth", nth).where(F.col("nth") <= max_features).orderBy("nth", "lang").limit(max_features)
+    return Model([tuple(r) for r in rows.select("lang", "feature", "n").collect()])
 
 
 def _with_predictions(docs: DataFrame, model: Model, text: str, with_spans: bool) -> DataFrame:
