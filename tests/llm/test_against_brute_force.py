@@ -412,6 +412,26 @@ def test_secrets_follow_constants():
     assert "Zx9!other22AB" not in found and "changeme" not in found
 
 
+@pytest.mark.parametrize(
+    "line, secret",
+    [
+        ('SIGNING_KEY = "9F86D081884C7D659A2FEAA0C55AD015"', "9F86D081884C7D659A2FEAA0C55AD015"),
+        ('SORTKEY = "9F86D081884C7D659A2FEAA0C55AD015"', "9F86D081884C7D659A2FEAA0C55AD015"),
+        ('session: "ABCDEFGH2IJKLMNOPQ34RSTU"', "ABCDEFGH2IJKLMNOPQ34RSTU"),
+        ('pwd = "zebraumbrella"', "zebraumbrella"),
+        ('passphrase = "correct horse battery staple"', "correct horse battery staple"),
+        ('pwd = "changeme"', None),
+        ('passphrase = "enter your passphrase"', None),
+        ('cache_key = "user_profile"', None),
+        ('key = "chapter seven"', None),
+        ('pwd = "xxxxxxxx"', None),
+    ],
+)
+def test_secrets_of_any_kind(line, secret):
+    found = [line[s.start : s.end] for s in secrets.scan(line.encode()) if s.kind == 3]
+    assert found == ([secret] if secret else [])
+
+
 def test_pipeline(spark, texts, duck):
     assert [s[0] for s in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "secrets", "tokens"]
     sf = "/root/testdata/sf0.01"

@@ -6,8 +6,9 @@ name-literal pairs (``name = value``, ``name: value``, ``"name" => value``,
 ``name := value``; quoted with escapes, or bare), joins literals added with ``+``,
 and follows names that stand for constants set before in the same text. A literal
 is scored by its target's name (the most sensitive word in it) and by its own
-shape (length, entropy, kinds of characters; placeholders, references and plain
-words score nothing). Literals from THRESHOLD on are reported, at the place of
+shape (length, entropy, kinds of characters; random strings of letters and digits
+count in full whatever their kinds; placeholders and references score nothing).
+Under a name that can only mean a secret, plain words and passphrases count too. Literals from THRESHOLD on are reported, at the place of
 the literal itself, also where another name led to it.
 
 Offsets are code points, ends exclusive. Spans are ordered by start, then kind
@@ -40,13 +41,23 @@ NAMES = {
     b"api_key": 0.95, b"apikey": 0.95, b"api-key": 0.95, b"access_key": 0.95, b"accesskey": 0.95, b"private_key": 1.0,
     b"privatekey": 1.0, b"credential": 0.9, b"auth_key": 0.9, b"authkey": 0.9, b"encryption_key": 0.9, b"client_key": 0.8,
     b"bearer": 0.8, b"signature": 0.6, b"auth": 0.6, b"session": 0.5, b"salt": 0.5, b"key": 0.5,
+    b"_key": 0.6, b"-key": 0.6,
 }
 #: Literals that stand where a secret would.
 PLACEHOLDERS = frozenset(
     b"changeme change_me password passwd secret token example sample test none null nil true false undefined todo xxx placeholder your_password redacted default".split()
 )
+#: Words of phrases that ask for a secret.
+ASKING = frozenset(b"password passwd passphrase your".split())
 THRESHOLD = 0.45
 MIN_LENGTH = 6
+#: From this weight on a name can only mean a secret; what a literal that is no placeholder scores there at least.
+SENSITIVE = 1.0
+PLAIN_SCORE = 0.5
+#: Length and entropy of random strings, with digits and of letters alone.
+RANDOM_LENGTH = 16
+RANDOM_ENTROPY = 3.0
+LETTERS_ENTROPY = 3.75
 
 _ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -55,6 +66,7 @@ _OPERATOR = re.compile(rb"(?::=|=>|==|!=|<=|>=|=|:)")
 _TARGET = re.compile(rb"([A-Za-z_$][A-Za-z0-9_.$-]*)[\"'`\]]{0,2}[ \t]*$")
 _QUOTED = re.compile(rb"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\\n]|\\.)*)`")
 _BARE = re.compile(rb"[^\s,;()\[\]{}\"'`<>]+")
+_RANDOM = re.compile(rb"[A-Za-z0-9+/_-]+={0,6}\Z")
 _IDENTIFIER = re.compile(rb"[A-Za-z_$][A-Za-z0-9_.$]*\Z")
 _BLANK = re.compile(rb"[ \t]*")
 _PLUS = re.compile(rb"[ \t]*\+[ \t]*(?=[\"'`A-Za-z_$])")
@@ -74,17 +86,21 @@ def name_score(name: bytes) -> float:
     return max((v for k, v in NAMES.items() if k in low), default=0.0)
 
 
-def literal_score(value: bytes) -> float:
-    """How much a literal looks like a secret, 0 to 1."""
+def literal_score(value: bytes, sensitive: bool = False) -> float:
+    """How much a literal looks like a secret, 0 to 1; sensitive: its name can only mean one."""
     low = value.lower()
     if len(value) < MIN_LENGTH or low in PLACEHOLDERS or low.startswith((b"${", b"$(", b"%(", b"{{", b"<", b"os.", b"env", b"http://", b"https://")):
         return 0.0
     counts, n = Counter(value), len(value)
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
     kinds = sum(bool(re.search(p, value)) for p in (rb"[a-z]", rb"[A-Z]", rb"[0-9]", rb"[^A-Za-z0-9\s]"))
+    digits, letters = re.search(rb"[0-9]", value), re.search(rb"[A-Za-z]", value)
+    if n >= RANDOM_LENGTH and _RANDOM.match(value) and letters and entropy >= (RANDOM_ENTROPY if digits else LETTERS_ENTROPY):
+        return 1.0
+    least = PLAIN_SCORE if sensitive and len(counts) > 1 and not ASKING & set(low.split()) else 0.0
     if b" " in value and kinds < 3:
-        return 0.0
-    return min(1.0, entropy / 4) * (0.55 + 0.15 * kinds) if kinds > 1 else min(1.0, entropy / 4) * 0.45
+        return least
+    return max(least, min(1.0, entropy / 4) * (0.55 + 0.15 * kinds if kinds > 1 else 0.45))
 
 
 def _operand(text: bytes, at: int) -> tuple[bytes | None, bytes, int, int] | None:
@@ -135,7 +151,7 @@ def pairs(text: bytes) -> list[tuple[bytes, bytes, int, int, float]]:
             constants[key] = constants[name] = parts
         weight = name_score(name)
         if weight:
-            score = round(weight * literal_score(whole), 4)
+            score = round(weight * literal_score(whole, weight >= SENSITIVE), 4)
             found += [(name, p[0], p[1], p[2], score) for p in parts]
     return found
 
