@@ -1,26 +1,35 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings. A bounded sample of labelled documents
-(MAX_SAMPLE, those with the lowest hashes of their ids) does two things: five
-sixths of it choose the terms (the MAX_TERMS with the highest log-likelihood
-ratio between the two labels, on the toxic side) and become the examples, one
-sixth calibrates. Document frequencies are counted over all documents. A vector
-has (1 + ln tf) * idf for each chosen term and length 1.
-
-The index holds examples in blocks and, for each term and block, the block's
-postings and their greatest weight. A query bounds every block by its terms' greatest weights, visits
-blocks from the highest bound down, and stops where the bound falls below the
-K-th best cosine so far: the K nearest are exact, ties going to the earlier
-example. Each neighbour votes for its label with weight 1 / (EPSILON + 1 - cosine),
-beside a vote of PRIOR_WEIGHT for the rate among documents without terms; an
-isotonic fit on the calibration part turns votes into scores.
-
-Edge cases: a null or empty text, and one without chosen terms, has the score of
-documents without terms; a null doc_id is not learned from and not held out; of a
-document labelled twice the higher label counts; without labels of both kinds all
-scores are the share of toxic labels (0 without any); repeated rows are learned
-from once and scored each by itself; of a document with several texts the further
-ones are learned from as far as MAX_SAMPLE again has room; empty tables give empty results; further columns are ignored.
+Terms are words and word beginnings, all of them. A bounded sample of labelled
+documents (MAX_SAMPLE, those with the lowest hashes of their ids) are the
+examples. Document frequencies are counted over all documents. A vector has
+(1 + ln tf)^2 * ln(1 + documents / df) for each term and length 1; its dimensions
+are the terms of the examples, since a term that none of them has adds nothing to
+any cosine's numerator and the same to all denominators: it changes no order and,
+as votes go by distance relative to the nearest, no vote.
+
+The index holds examples in blocks of like ones. The postings of rarer terms are
+short and are summed up at once; the FREQUENT most common terms have a greatest
+weight for each block, and their postings (dense, block by block) are read only
+where the sum of a block's greatest weights and its best sum of rarer terms can
+still reach the K-th best cosine so far. What reaches that is summed up anew, in one order for all,
+so the K nearest are exact, ties going to the earlier example.
+
+Each neighbour votes for its label with weight 1 / (EPSILON + 1 - its share of the
+nearest one's cosine), beside a vote of PRIOR_WEIGHT for the rate of the sample.
+Votes are also counted term by term among the neighbours that have it: the
+evidence is the mean of the EVIDENCE largest standard scores of a text's terms
+for the toxic label. A logistic fit on each example's own vote and evidence, found among
+the other examples, and an isotonic fit on its results turn both into a score.
+
+Edge cases: a null or empty text, and one without a term of the examples, has the
+rate of the sample as its score and no neighbour; very long texts count whole; a null doc_id is not learned
+from and not held out; of a document labelled twice the higher label counts;
+without labels of both kinds all scores are the share of toxic labels (0 without
+any); repeated rows are learned from once and scored each by itself; of a document
+with several texts the further ones are learned from as far as MAX_SAMPLE has
+room; equal cosines: the example with the lower number; empty tables give empty
+results; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,27 +40,34 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import slices, small_batches, written
 from .language_id import remainder
 
-MAX_SAMPLE = 24_000
-MAX_TERMS = 4096
-#: A term's least log-likelihood ratio, least number of sampled documents, and
-#: least odds of the toxic label as a multiple of the whole sample's.
-LEAST_RATIO = 15.0
-LEAST_DOCS = 4
-LEAST_ODDS = 3.0
-BEGINNINGS = (4, 5, 6)
-BLOCK = 1024
-K = 32
+#: Examples, whole documents with all their terms: each Python worker holds their index.
+MAX_SAMPLE = 4_000
+BEGINNINGS = (4,)
+BLOCK = 512
+#: Terms whose postings are kept dense and bounded by block.
+FREQUENT = 384
+K = 64
 EPSILON = 0.05
 PRIOR_WEIGHT = 1.0
-#: Calibration cases at which the isotonic fit has half the say.
-FIT_CASES = 50
+#: Standard scores that make up the evidence, and the least weight of the neighbours that have a term.
+EVIDENCE = 6
+LEAST_WEIGHT = 1.5
+#: Calibration cases at which the isotonic fit has half the say, and the pull of the logistic one to no effect.
+FIT_CASES = 2000
+RIDGE = 1.0
 KNOWN_WORDS = 250_000
+#: Vectors searched together, and results of vectors that a task remembers.
+BATCH = 128
+KNOWN_VECTORS = 20_000
+#: How far below the K-th best cosine an example is summed up anew, by itself.
+MARGIN = 1e-9
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -61,133 +77,185 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) >= n)]
 
 
-def _term_counts(sample: DataFrame) -> DataFrame:
-    """(term, n, toxic): documents of the sample with a term, and the toxic ones of them."""
+def words_of(text: str | None) -> Counter:
+    """A text's words with their counts."""
+    return Counter(_WORD.findall(text.lower())) if text else Counter()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            total, toxic = Counter(), Counter()
-            for body, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                own = {t for w in set(_WORD.findall(body.lower())) for t in terms_of(w)}
-                total.update(own)
-                if label:
-                    toxic.update(own)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(total), pa.string()), pa.array(total.values(), pa.int64()), pa.array([toxic[t] for t in total], pa.int64())], ["term", "n", "toxic"]
-            )
-
-    rows = small_batches(sample.select(F.coalesce("text", F.lit("")).alias("text"), "label")).mapInArrow(run, "term string, n long, toxic long")
-    return rows.groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-
-
-def choose_terms(sample: DataFrame) -> list[str]:
-    """The terms that speak most for the toxic label, ties in order of their text."""
-    n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    if not 0 < toxic < n:
-        return []
-
-    def part(seen, expected):
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-
-    a, b = F.col("toxic").cast("double"), (F.col("n") - F.col("toxic")).cast("double")
-    ratio = 2 * (part(a, F.col("n") * (toxic / n)) + part(b, F.col("n") * (1 - toxic / n)))
-    rows = _term_counts(sample).where(F.col("n") >= LEAST_DOCS).withColumn("ratio", F.round(ratio, 6))
-    # an odds ratio has no upper end, whatever the share of toxic labels; a multiple of the share has
-    rows = rows.where((F.col("ratio") >= LEAST_RATIO) & (a * (n - toxic) >= LEAST_ODDS * b * toxic))
-    return [r["term"] for r in rows.orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).select("term").collect()]
-
-
-def vectors(docs: DataFrame, terms: list[str], key: str, text: str) -> DataFrame:
-    """(key, terms, tfs) of every text: chosen terms by number, ascending, and how often they occur."""
-    sent = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
-    narrow = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    schema = f"key {narrow.schema['key'].dataType.simpleString()}, terms array<int>, tfs array<int>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
+def term_weight(tfs: np.ndarray) -> np.ndarray:
+    return (1 + np.log(tfs)) ** 2
 
-        class Known(dict):
-            def __missing__(self, word: str) -> tuple[int, ...]:
-                if len(self) >= KNOWN_WORDS:
-                    self.clear()
-                got = self[word] = tuple(index[t] for t in terms_of(word) if t in index)
-                return got
 
-        known = Known()
-        for batch in slices(batches, "text", 2 << 20):
-            ids, tfs = [], []
-            for body in batch.column("text").to_pylist():
-                counts = Counter(i for w in _WORD.findall(body.lower()) for i in known[w])
-                own = sorted(counts)
-                ids.append(own)
-                tfs.append([counts[i] for i in own])
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, kind), pa.array(tfs, kind)], ["key", "terms", "tfs"])
+class Vocabulary:
+    """Numbers of the terms of the examples."""
 
-    return small_batches(narrow).mapInArrow(run, schema)
+    def __init__(self, terms: list[str]):
+        self.index = {t: i for i, t in enumerate(terms)}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def __getstate__(self):
+        return list(self.index)
+
+    def __setstate__(self, terms):
+        self.__init__(terms)
+
+    def numbers(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of a text, ascending, and how often they occur."""
+        known, index = self.known, self.index
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        ids: list[int] = []
+        tfs: list[int] = []
+        for w, n in counts.items():
+            own = known.get(w)
+            if own is None:
+                own = known[w] = tuple(index[t] for t in terms_of(w) if t in index)
+            ids += own
+            tfs += (n,) * len(own)
+        at, inverse = np.unique(np.array(ids, np.int32), return_inverse=True)
+        return at, np.bincount(inverse, tfs, len(at)).astype(np.int32)
 
 
 class BlockMaxIndex:
     """Examples with their labels, in blocks, and the K nearest of a query."""
 
-    def __init__(self, idf: np.ndarray, examples: list[tuple[list[int], list[int]]], labels: list[int], block: int = BLOCK):
-        self.idf, self.labels, self.block = idf, np.array(labels, np.float64), block
-        self.n_blocks = -(-len(examples) // block)
-        term, example, weight = [], [], []
-        for i, (ids, tfs) in enumerate(examples):
-            at, w = self.weigh(ids, tfs)
-            term.append(at)
-            weight.append(w)
-            example.append(np.full(len(at), i))
-        self.term = np.concatenate(term) if term else np.empty(0, np.int64)
-        self.example = np.concatenate(example) if example else np.empty(0, np.int64)
-        self.weight = np.concatenate(weight) if weight else np.empty(0)
-        cell = self.term * self.n_blocks + self.example // block
-        order = np.lexsort((self.example, cell))
-        self.example, self.weight, cell = self.example[order], self.weight[order], cell[order]
-        self.edges = np.searchsorted(cell, np.arange(len(idf) * self.n_blocks + 1))
-        self.most = np.zeros(len(idf) * self.n_blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(len(idf), self.n_blocks)
-
-    def weigh(self, ids: list[int], tfs: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, idf: np.ndarray, examples: list[tuple], labels: list[int], block: int = BLOCK, frequent: int = FREQUENT):
+        self.idf, self.labels, self.block = np.asarray(idf, np.float64), np.array(labels, np.float64), block
+        self.n, n_terms = len(examples), len(idf)
+        self.n_blocks = -(-self.n // block)
+        self.width = self.n_blocks * block
+        sizes = np.array([len(e[0]) for e in examples], np.int64)
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        terms = np.concatenate([np.asarray(e[0], np.int64) for e in examples]) if self.n else np.empty(0, np.int64)
+        tfs = np.concatenate([np.asarray(e[1], np.float64) for e in examples]) if self.n else np.empty(0)
+        weight = term_weight(tfs) * self.idf[terms]
+        length = np.sqrt(np.bincount(owner, weight * weight, self.n))
+        weight = weight / np.where(length > 0, length, 1.0)[owner]
+        # dense postings of the most common terms, with the greatest weight of each block
+        df = np.bincount(terms, minlength=n_terms)
+        common = np.sort(np.argsort(-df, kind="stable")[:frequent])
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        column = self.column[terms]
+        self.dense = np.zeros((self.width, len(common)))
+        inside = column >= 0
+        self.dense[owner[inside], column[inside]] = weight[inside]
+        self.most = self.dense.reshape(self.n_blocks, block, len(common)).max(1).T if self.n else np.zeros((len(common), 0))
+        # postings of the others by term
+        order = np.argsort(terms[~inside], kind="stable")
+        self.post, self.post_weight = owner[~inside][order], weight[~inside][order]
+        self.edges = np.searchsorted(terms[~inside][order], np.arange(n_terms + 1))
+
+    def weigh(self, ids, tfs) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a vector of length 1."""
         at = np.asarray(ids, np.int64)
-        w = (1 + np.log(np.asarray(tfs, np.float64))) * self.idf[at]
+        w = term_weight(np.asarray(tfs, np.float64)) * self.idf[at]
         length = np.sqrt((w * w).sum())
         return at, w / length if length else w
 
-    def nearest(self, ids: list[int], tfs: list[int], k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of the k nearest with a cosine above 0, best first, ties by example."""
-        at, w = self.weigh(ids, tfs)
-        found, cosines = np.empty(0, np.int64), np.empty(0)
-        if not len(at) or not self.n_blocks:
-            return found, cosines
-        bounds = w @ self.most[at]
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(found) >= k and bounds[b] < cosines[-1] - 1e-9:
+    def search(self, queries: list[tuple], k: int = K, but: list[int] | None = None) -> Iterator[tuple]:
+        """For each query (ids, tfs): its k nearest with a cosine above 0, best first, ties by example; their cosines; and
+        a function that sums a weight of each neighbour over the neighbours that have a term, for every term of the query.
+
+        but: an example for each query that is passed over.
+        """
+        n = len(queries)
+        weighed = [self.weigh(*q) for q in queries]
+        rare, heavy = np.zeros((n, self.width)), np.zeros((n, self.dense.shape[1]))
+        read = []
+        for i, (at, w) in enumerate(weighed):
+            column = self.column[at]
+            inside = np.flatnonzero(column >= 0)
+            heavy[i, column[inside]] = w[inside]
+            outside = np.flatnonzero(column < 0)
+            left = self.edges[at[outside]]
+            counts = self.edges[at[outside] + 1] - left
+            total = int(counts.sum())
+            cells = np.repeat(left - np.cumsum(counts) + counts, counts) + np.arange(total)
+            place = np.repeat(outside, counts)
+            owner = self.post[cells]
+            if total:
+                rare[i] = np.bincount(owner, w[place] * self.post_weight[cells], self.width)
+            read.append((owner, place, inside, column[inside]))
+        bounds = heavy @ self.most + rare.reshape(n, self.n_blocks, self.block).max(2)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        wide = k + (but is not None)
+        floor = np.full(n, 2 * MARGIN)
+        held: list[tuple] = []
+        for turn in range(self.n_blocks):
+            bound = bounds[np.arange(n), order[:, turn]]
+            active = np.flatnonzero(bound >= floor - MARGIN)
+            if not len(active):
                 break
-            cells = at * self.n_blocks + b
-            score = np.zeros(self.block)
-            for q, x, y in zip(w, self.edges[cells], self.edges[cells + 1], strict=True):
-                if y > x:
-                    score[self.example[x:y] - b * self.block] += q * self.weight[x:y]
-            hit = np.flatnonzero(score)
-            if len(hit) > k:  # all that tie with the k-th stay until ties are settled
-                hit = hit[score[hit] >= np.partition(score[hit], -k)[-k] - 1e-12]
-            found = np.concatenate([found, hit + b * self.block])
-            cosines = np.concatenate([cosines, np.minimum(1.0, np.round(score[hit], 9))])
-            best = np.lexsort((found, -cosines))[:k]
-            found, cosines = found[best], cosines[best]
-        return found, cosines
-
-    def votes(self, ids: list[int], tfs: list[int], prior: float, k: int = K) -> tuple[float, int, float]:
-        """Weighted vote for label 1, the nearest example (-1: none) and its cosine."""
-        found, cosines = self.nearest(ids, tfs, k)
-        if not len(found):
-            return prior, -1, 0.0
-        weight = 1 / (EPSILON + 1 - cosines)
-        return float((weight @ self.labels[found] + PRIOR_WEIGHT * prior) / (weight.sum() + PRIOR_WEIGHT)), int(found[0]), float(cosines[0])
+            blocks = order[active, turn]
+            for b in np.unique(blocks):
+                own = active[blocks == b]
+                cut = slice(b * self.block, (b + 1) * self.block)
+                score = heavy[own] @ self.dense[cut].T + rare[own, cut]
+                if wide <= self.block:
+                    # a block's own K-th best is at most the K-th best of all
+                    floor[own] = np.maximum(floor[own], np.partition(score, self.block - wide, axis=1)[:, self.block - wide])
+                row, at = np.nonzero(score >= floor[own, None] - MARGIN)
+                held.append((own[row], at + cut.start, score[row, at]))
+        whose, found, near = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.int64),) * 3
+        there = near >= floor[whose] - MARGIN
+        whose, found, near = whose[there], found[there], near[there]
+        line = np.lexsort((found, whose))
+        found, near = found[line], near[line]
+        ends = np.searchsorted(whose[line], np.arange(n + 1))
+        rank = np.full(self.width, -1, np.int32)
+        for i, (at, w) in enumerate(weighed):
+            owner, place, inside, column = read[i]
+            own, close = found[ends[i] : ends[i + 1]], near[ends[i] : ends[i + 1]]
+            if len(own) > wide:
+                own = own[close >= np.partition(close, len(own) - wide)[len(own) - wide] - MARGIN]
+            if but is not None:
+                own = own[own != but[i]]
+            # by itself, so that the sums do not depend on what else is searched
+            dense = self.dense[own[:, None], column[None, :]]
+            cosine = np.minimum(1.0, np.round((dense * w[inside]).sum(1) + rare[i, own], 9))
+            top = np.lexsort((own, -cosine))[:k]
+            top = top[cosine[top] > 0]
+            own, cosine, dense = own[top], cosine[top], dense[top] > 0
+            rank[own] = np.arange(len(own))
+            row = rank[owner]
+            rank[own] = -1
+            row, place = row[row >= 0], place[row >= 0]
+
+            def having(weight, n=len(at), row=row, place=place, inside=inside, dense=dense):
+                out = np.bincount(place, weight[row], n)
+                out[inside] = weight @ dense
+                return out
+
+            yield own, cosine, having
+
+    def nearest(self, ids, tfs, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+        """Examples and cosines of the k nearest with a cosine above 0, best first, ties by example."""
+        if not self.n:
+            return np.empty(0, np.int64), np.empty(0)
+        return next(self.search([(ids, tfs)], k))[:2]
+
+    def votes(self, queries: list[tuple], prior: float, but: list[int] | None = None) -> list[tuple]:
+        """For each query: vote, evidence, nearest example (-1: none), its cosine, and up to three terms that speak most for label 1."""
+        none = (prior, 0.0, -1, 0.0, [])
+        if not self.n:
+            return [none] * len(queries)
+        out = []
+        for (ids, _), (found, cosine, having) in zip(queries, self.search(queries, K, but), strict=True):
+            if not len(found):
+                out.append(none)
+                continue
+            weight = 1 / (EPSILON + 1 - cosine / cosine[0])
+            weight /= weight.mean()
+            total, label = weight.sum(), self.labels[found]
+            for_it = float((weight * label).sum())
+            share = (for_it + 2 * prior) / (total + 2)
+            mass, toxic = having(weight), having(weight * label)
+            spread = np.sqrt(mass * share * (1 - share) * np.maximum(0.0, 1 - mass / (total + 1)) + 0.5)
+            z = np.round(np.where(mass > LEAST_WEIGHT, (toxic - mass * share) / spread, 0.0), 9)
+            top = np.argsort(-z, kind="stable")[:EVIDENCE]
+            out.append(((for_it + PRIOR_WEIGHT * prior) / (total + PRIOR_WEIGHT), float(z[top].mean()), int(found[0]), float(cosine[0]), [int(ids[t]) for t in top[:3] if z[t] > 0]))
+        return out
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,70 +272,182 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([k[0] for k in knots]), np.array([k[1] for k in knots])
 
 
-class Scorer:
-    """An index with its prior, calibration and the examples' keys."""
+class Calibration:
+    """From votes and evidence to a probability: a logistic fit, and an isotonic one on its results."""
+
+    def __init__(self, vote: np.ndarray, evidence: np.ndarray, label: np.ndarray):
+        x = self._inputs(vote, evidence)
+        self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
+        z = np.c_[np.ones(len(x)), (x - self.mean) / self.scale]
+        self.beta, pull = np.zeros(3), np.array([0.0, RIDGE, RIDGE])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(z @ self.beta, -30, 30)))
+            step = np.linalg.solve((z.T * (p * (1 - p))) @ z + np.diag(pull + 1e-6), z.T @ (label - p) - pull * self.beta)
+            self.beta = self.beta + step
+            if np.abs(step).max() < 1e-9:
+                break
+        self.trust = len(label) / (len(label) + FIT_CASES)
+        self.knots = isotonic(self._logistic(vote, evidence), label)
+
+    @staticmethod
+    def _inputs(vote, evidence) -> np.ndarray:
+        v = np.clip(np.asarray(vote, np.float64), 1e-3, 1 - 1e-3)
+        return np.stack([np.log(v / (1 - v)), np.asarray(evidence, np.float64)], axis=1)
+
+    def _logistic(self, vote, evidence) -> np.ndarray:
+        z = (self._inputs(vote, evidence) - self.mean) / self.scale
+        return np.round(1 / (1 + np.exp(-np.clip(self.beta[0] + z @ self.beta[1:], -30, 30))), 12)
+
+    def score(self, vote, evidence) -> np.ndarray:
+        p = self._logistic(vote, evidence)
+        return np.clip((1 - self.trust) * p + self.trust * np.interp(p, *self.knots), 0.0, 1.0)
+
+
+def vectors(docs: DataFrame, vocabulary: Vocabulary, key: str, text: str) -> DataFrame:
+    """(key, terms, tfs) of every text: terms of a vocabulary by number, ascending, and how often they occur.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    schema = f"key {narrow.schema['key'].dataType.simpleString()}, terms array<int>, tfs array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = sent.value
+        for batch in slices(batches, "text", 2 << 20):
+            got = [terms.numbers(words_of(body)) for body in batch.column("text").to_pylist()]
+            arrays = [_lists([g[i] for g in got]) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *arrays], ["key", "terms", "tfs"])
+
+    return small_batches(narrow).mapInArrow(run, schema)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.r_[0, np.cumsum([len(a) for a in arrays])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0), pa.int32()))
+
+
+def document_counts(vecs: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
+    """How many documents have each term, and how many there are."""
 
-    def __init__(self, index: BlockMaxIndex, prior: float, trial: list[tuple[float, int]], keys: list):
-        self.index, self.prior, self.keys = index, prior, keys
-        # the fit counts the more the more cases it has; the rest of the score keeps the votes' order
-        self.trust = len(trial) / (len(trial) + FIT_CASES)
-        self.knots = isotonic(np.array([t[0] for t in trial]), np.array([t[1] for t in trial], float)) if trial else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, total = np.zeros(n_terms, np.int64), 0
+        for batch in batches:
+            counts += np.bincount(batch.column("terms").flatten().to_numpy(), minlength=n_terms)
+            total += batch.num_rows
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1], pa.int64()), pa.array(np.r_[counts[at], total], pa.int64())], ["term", "n"])
+
+    rows = vecs.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = rows.column("term").to_numpy(), rows.column("n").to_numpy()
+    out = np.zeros(n_terms, np.int64)
+    out[term[term >= 0]] = n[term >= 0]
+    return out, int(n[term < 0].sum())
+
+
+def _examples(docs: DataFrame, labelled: DataFrame, key: str, text: str, label: str, max_sample: int) -> DataFrame:
+    """(key, th, label, text) of the sample, at most max_sample rows."""
+    marks = labelled.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label in (0, 1)")
+    marks = written(marks.groupBy("key").agg(F.max("label").alias("label")).orderBy(F.xxhash64("key"), "key").limit(max_sample), "marks")
+    # marks: at most max_sample rows; every document's first text comes before any document's second
+    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("th")).join(F.broadcast(marks), "key").distinct()
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("th", "text"))
+    sample = sample.withColumn("nth", nth).where(F.col("nth") <= max_sample).orderBy("nth", F.xxhash64("key"), "key").limit(max_sample)
+    return written(sample.select("key", "th", "label", "text"), "sample")
 
-    def score(self, ids: list[int], tfs: list[int]) -> tuple[float, object, float]:
-        """Calibrated score, nearest example's key and cosine."""
-        raw, near, cosine = self.index.votes(ids, tfs, self.prior)
-        if self.knots is not None and near >= 0:
-            raw = (1 - self.trust) * raw + self.trust * float(np.interp(raw, *self.knots))
-        return min(1.0, max(0.0, raw)), self.keys[near] if near >= 0 else None, cosine
+
+def _vocabulary(sample: DataFrame) -> Vocabulary:
+    """All terms of the sample, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: set[str] = set()
+        for batch in slices(batches, "text", 1 << 20):
+            for body in batch.column("text").to_pylist():
+                words.update(words_of(body))
+        yield pa.RecordBatch.from_arrays([pa.array(list({t for w in words for t in terms_of(w)}), pa.string())], ["term"])
+
+    return Vocabulary(sorted(small_batches(sample.select("text")).mapInArrow(run, "term string").distinct().toArrow().column("term").to_pylist()))
+
+
+def _index(sample: DataFrame, vocabulary: Vocabulary, idf: np.ndarray) -> tuple[BlockMaxIndex, list[tuple], list]:
+    """The index, and the examples' vectors and keys in its order: like ones stand together."""
+    marks = sample.select("key", "th", "label", "text").withColumn("row", F.struct("key", "th", "label"))
+    rows = vectors(marks, vocabulary, "row", "text").toArrow().to_pylist()
+    rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["key"]["key"])), str(r["key"]["key"]), r["key"]["th"] or 0))
+    examples = [(np.array(r["terms"], np.int64), np.array(r["tfs"], np.int64)) for r in rows]
+    # by the term that weighs most among those that many examples have
+    many = np.bincount(np.concatenate([e[0] for e in examples]) if examples else np.empty(0, np.int64), minlength=len(idf)) * 100 >= len(examples)
+    heads = []
+    for ids, n in examples:
+        w = np.where(many[ids], term_weight(n) * idf[ids], 0.0)
+        heads.append(int(ids[w.argmax()]) if len(ids) else -1)
+    line = np.argsort(np.array(heads, np.int64), kind="stable").tolist()
+    examples = [examples[i] for i in line]
+    index = BlockMaxIndex(idf, examples, [rows[i]["key"]["label"] for i in line])
+    return index, examples, [rows[i]["key"]["key"] for i in line]
+
+
+def _calibration(spark, index: BlockMaxIndex, examples: list[tuple], sent, prior: float) -> Calibration:
+    """Fitted on every example's vote and evidence among the others."""
+    vecs = spark.sparkContext.broadcast(examples)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_pylist()
+            for a in range(0, len(ids), BATCH):
+                own = ids[a : a + BATCH]
+                got = sent.value[1].votes([vecs.value[i] for i in own], prior, own)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([g[0] for g in got]), pa.array([g[1] for g in got])], ["id", "vote", "evidence"])
+
+    parts = max(1, min(index.n // BATCH, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = spark.range(0, index.n, 1, parts).mapInArrow(run, "id long, vote double, evidence double").orderBy("id").toArrow()
+    return Calibration(rows.column("vote").to_numpy(), rows.column("evidence").to_numpy(), index.labels)
 
 
 def score_documents(
     docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_sample: int = MAX_SAMPLE
 ) -> DataFrame:
-    """(key, score, nearest, cosine) of every document; labelled: (key, label) to learn from, label 0 or 1."""
-    marks = labelled.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label in (0, 1)")
-    marks = marks.groupBy("key").agg(F.max("label").alias("label")).orderBy(F.xxhash64("key"), "key").limit(max_sample)
-    role = (F.pmod(F.xxhash64(F.col("key"), F.lit("role")), F.lit(6)) == 0).alias("calibrates")
-    marks = written(marks.select("key", "label", role), "marks")
-    # marks: at most max_sample rows
-    sample = written(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(marks), "key").distinct(), "sample")
-    terms = choose_terms(sample.where("not calibrates"))
-    vec = written(vectors(docs, terms, key, text), "vectors")
-    counted = vec.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()
-    total = vec.count()
-    idf = np.zeros(len(terms))
-    for r in counted:
-        idf[r["t"]] = np.log(1 + total / r["n"])
-    # every document's first vector comes before any document's second
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("terms", "tfs"))
-    known = vec.join(F.broadcast(marks), "key").distinct().withColumn("nth", nth).where(F.col("nth") <= 2 * max_sample)
-    known = known.orderBy("nth", F.xxhash64("key"), "key").limit(2 * max_sample).collect()
-    shown = [r for r in known if not r["calibrates"]]
-    bare = [r["label"] for r in shown if not r["terms"]]
-    prior = float(np.mean(bare)) if bare else float(np.mean([r["label"] for r in shown])) if shown else 0.0
-    shown = [r for r in shown if r["terms"]]
-    index = BlockMaxIndex(idf, [(r["terms"], r["tfs"]) for r in shown], [r["label"] for r in shown])
-    trial = [(index.votes(r["terms"], r["tfs"], prior)[0], r["label"]) for r in known if r["calibrates"] and r["terms"]]
-    sent = docs.sparkSession.sparkContext.broadcast(Scorer(index, prior, trial, [r["key"] for r in shown]))
-    kind = vec.schema["key"].dataType.simpleString()
+    """(key, score, nearest, cosine, evidence) of every document; labelled: (key, label) to learn from, label 0 or 1.
+
+    nearest: the nearest example's key; evidence: up to three terms that speak most for label 1.
+    """
+    spark = docs.sparkSession
+    sample = _examples(docs, labelled, key, text, label, max_sample)
+    vocabulary = _vocabulary(sample)
+    vecs = written(vectors(docs, vocabulary, key, text), "vectors")
+    counts, total = document_counts(vecs, len(vocabulary.index))
+    index, examples, keys = _index(sample, vocabulary, np.log(1 + total / np.maximum(counts, 1)))
+    prior = float(index.labels.mean()) if index.n else 0.0
+    sent = spark.sparkContext.broadcast((list(vocabulary.index), index, keys))
+    fitted = _calibration(spark, index, examples, sent, prior) if 0 < prior < 1 else None
+    kind = vecs.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, seen = sent.value, {}
-        for batch in batches:
-            got = []
-            for ids, tfs in zip(batch.column("terms").to_pylist(), batch.column("tfs").to_pylist(), strict=True):
-                vector = (*ids, -1, *tfs)
-                if vector not in seen:
-                    if len(seen) >= 50_000:
-                        seen.clear()
-                    seen[vector] = scorer.score(ids, tfs)
-                got.append(seen[vector])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], batch.schema.field("key").type), pa.array([g[2] for g in got], pa.float64())],
-                ["key", "score", "nearest", "cosine"],
-            )
-
-    return vec.mapInArrow(run, f"key {kind}, score double, nearest {kind}, cosine double").withColumnRenamed("key", key)
+        names, index, keys = sent.value
+        seen: dict[bytes, tuple] = {}
+        for whole in batches:
+            for a in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(a, BATCH)
+                columns = [batch.column(c) for c in ("terms", "tfs")]
+                ends = columns[0].offsets.to_numpy() - columns[0].offsets[0].as_py()
+                flat = [c.flatten().to_numpy() for c in columns]
+                rows = [tuple(x[y:z] for x in flat) for y, z in zip(ends, ends[1:], strict=False)]
+                digests = [xxhash.xxh128_digest(ids.tobytes() + tfs.tobytes()) for ids, tfs in rows]
+                if len(seen) > KNOWN_VECTORS:
+                    seen.clear()
+                new = {d: v for d, v in zip(digests, rows, strict=True) if d not in seen}
+                seen.update(zip(new, index.votes(list(new.values()), prior), strict=True))
+                got = [seen[d] for d in digests]
+                near = np.array([g[2] for g in got])
+                score = fitted.score([g[0] for g in got], [g[1] for g in got]) if fitted else np.full(len(got), prior)
+                arrays = [
+                    batch.column("key"),
+                    pa.array(np.where(near < 0, prior, score)),
+                    pa.array([keys[i] if i >= 0 else None for i in near], batch.schema.field("key").type),
+                    pa.array([g[3] for g in got], pa.float64()),
+                    pa.array([[names[t] for t in g[4]] for g in got], pa.list_(pa.string())),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "score", "nearest", "cosine", "evidence"])
+
+    return small_batches(vecs).mapInArrow(run, f"key {kind}, score double, nearest {kind}, cosine double, evidence array<string>").withColumnRenamed("key", key)
 
 
 def op9_nearest_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -276,4 +456,4 @@ def op9_nearest_toxicity(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     out = score_documents(docs, labels.where(remainder(F.col("doc_id"), 4) != 2))
     held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
-    return out.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "nearest", "cosine")
+    return out.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "nearest", "cosine", F.array_join("evidence", " ").alias("evidence"))
