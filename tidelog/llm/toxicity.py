@@ -52,7 +52,7 @@ MAX_SAMPLE = 4_000
 BEGINNINGS = (4,)
 BLOCK = 512
 #: Terms whose postings are kept dense and bounded by block.
-FREQUENT = 384
+FREQUENT = 1024
 K = 64
 EPSILON = 0.05
 PRIOR_WEIGHT = 1.0
@@ -62,12 +62,12 @@ LEAST_WEIGHT = 1.5
 #: Calibration cases at which the isotonic fit has half the say, and the pull of the logistic one to no effect.
 FIT_CASES = 2000
 RIDGE = 1.0
-KNOWN_WORDS = 250_000
+KNOWN_WORDS = 200_000
 #: Vectors searched together, and results of vectors that a task remembers.
 BATCH = 128
 KNOWN_VECTORS = 20_000
-#: How far below the K-th best cosine an example is summed up anew, by itself.
-MARGIN = 1e-9
+#: How far below the K-th best cosine, in single precision, an example is summed up anew in double, by itself.
+MARGIN = 1e-5
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -86,34 +86,40 @@ def term_weight(tfs: np.ndarray) -> np.ndarray:
     return (1 + np.log(tfs)) ** 2
 
 
-class Vocabulary:
-    """Numbers of the terms of the examples."""
+class Vocabulary(dict):
+    """Words by their row in a table of numbers, -1 where a term is none of the examples'."""
 
     def __init__(self, terms: list[str]):
+        super().__init__()
         self.index = {t: i for i, t in enumerate(terms)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.table = np.full((KNOWN_WORDS, 1 + len(BEGINNINGS)), -1, np.int32)
 
-    def __getstate__(self):
-        return list(self.index)
+    def __reduce__(self):
+        return Vocabulary, (list(self.index),)
 
-    def __setstate__(self, terms):
-        self.__init__(terms)
+    def __missing__(self, word: str) -> int:
+        row = len(self)
+        if row >= len(self.table):
+            self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+        self.table[row] = -1
+        for k, t in enumerate(terms_of(word)):
+            self.table[row, k] = self.index.get(t, -1)
+        self[word] = row
+        return row
 
     def numbers(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms of a text, ascending, and how often they occur."""
-        known, index = self.known, self.index
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        ids: list[int] = []
-        tfs: list[int] = []
-        for w, n in counts.items():
-            own = known.get(w)
-            if own is None:
-                own = known[w] = tuple(index[t] for t in terms_of(w) if t in index)
-            ids += own
-            tfs += (n,) * len(own)
-        at, inverse = np.unique(np.array(ids, np.int32), return_inverse=True)
-        return at, np.bincount(inverse, tfs, len(at)).astype(np.int32)
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        rows = np.fromiter(map(self.__getitem__, counts), np.int64, len(counts))
+        ids = self.table[rows].ravel()
+        tfs = np.repeat(np.fromiter(counts.values(), np.int32, len(counts)), self.table.shape[1])
+        there = ids >= 0
+        ids, tfs = ids[there], tfs[there]
+        order = np.argsort(ids, kind="stable")
+        ids, tfs = ids[order], tfs[order]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.empty(0, np.int64)
+        return ids[first], np.add.reduceat(tfs, first) if len(first) else tfs
 
 
 class BlockMaxIndex:
@@ -140,7 +146,8 @@ class BlockMaxIndex:
         self.dense = np.zeros((self.width, len(common)))
         inside = column >= 0
         self.dense[owner[inside], column[inside]] = weight[inside]
-        self.most = self.dense.reshape(self.n_blocks, block, len(common)).max(1).T if self.n else np.zeros((len(common), 0))
+        self.single = self.dense.astype(np.float32)
+        self.most = self.single.reshape(self.n_blocks, block, len(common)).max(1).T if self.n else np.zeros((len(common), 0), np.float32)
         # postings of the others by term
         order = np.argsort(terms[~inside], kind="stable")
         self.post, self.post_weight = owner[~inside][order], weight[~inside][order]
@@ -161,7 +168,7 @@ class BlockMaxIndex:
         """
         n = len(queries)
         weighed = [self.weigh(*q) for q in queries]
-        rare, heavy = np.zeros((n, self.width)), np.zeros((n, self.dense.shape[1]))
+        rare, heavy = np.zeros((n, self.width)), np.zeros((n, self.dense.shape[1]), np.float32)
         read = []
         for i, (at, w) in enumerate(weighed):
             column = self.column[at]
@@ -175,7 +182,7 @@ class BlockMaxIndex:
             place = np.repeat(outside, counts)
             owner = self.post[cells]
             if total:
-                rare[i] = np.bincount(owner, w[place] * self.post_weight[cells], self.width)
+                rare[i] = np.bincount(owner, np.repeat(w[outside], counts) * self.post_weight[cells], self.width)
             read.append((owner, place, inside, column[inside]))
         bounds = heavy @ self.most + rare.reshape(n, self.n_blocks, self.block).max(2)
         order = np.argsort(-bounds, axis=1, kind="stable")
@@ -191,7 +198,7 @@ class BlockMaxIndex:
             for b in np.unique(blocks):
                 own = active[blocks == b]
                 cut = slice(b * self.block, (b + 1) * self.block)
-                score = heavy[own] @ self.dense[cut].T + rare[own, cut]
+                score = heavy[own] @ self.single[cut].T + rare[own, cut].astype(np.float32)
                 if wide <= self.block:
                     # a block's own K-th best is at most the K-th best of all
                     floor[own] = np.maximum(floor[own], np.partition(score, self.block - wide, axis=1)[:, self.block - wide])
