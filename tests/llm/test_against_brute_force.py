@@ -452,3 +452,36 @@ def test_pipeline(spark, texts, duck):
     docs = {d: secrets.redacted(t, secrets.scan(t.encode())) for d, t in docs.items()}
     got = {r.doc_id: (r.n_chars, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf).select("doc_id", "n_chars", "decoded_sha256").collect()}
     assert got == {d: (len(t), hashlib.sha256(t.encode()).hexdigest()) for d, t in docs.items()}
+
+
+def test_warc_rolls_files_at_the_default_sizes(spark, tmp_path):
+    """Random pages of one range's default size: several files, each closed at its size, in order of keys."""
+    rng = random.Random(4)
+    size = warc.RANGE_BYTES // 2000
+    rows = [(i, f"http://h/{i}", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz <>", k=size // 2)) * 2) for i in range(2000)]
+    uri = f"file://{tmp_path}/w"
+    manifest = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), uri).orderBy("name").collect()
+    ranges = {m.name[:12] for m in manifest}
+    assert len(ranges) < len(manifest) / 2 and sum(m.records for m in manifest) == 2000
+    last = {m.name[:12]: m.name for m in manifest}
+    assert all(warc.FILE_BYTES <= m.bytes < 2 * warc.FILE_BYTES for m in manifest if m.name != last[m.name[:12]])
+    assert {(r.page_id, r.payload_bytes) for r in warc.read_warc(spark, uri).collect()} == {(i, len(t)) for i, _, t in rows}
+
+
+def test_warc_splits_a_hot_key(spark, tmp_path):
+    """Of many rows with one key or none, ranges take their share."""
+    rows = [(7 if i % 3 else None, f"http://h/{i}", f"page {i} " * 20) for i in range(900)]
+    uri = f"file://{tmp_path}/w"
+    manifest = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), uri, range_bytes=10_000, file_bytes=10**6).collect()
+    assert len(manifest) > 5 and max(m.records for m in manifest) < 300
+    got = warc.read_warc(spark, uri).collect()
+    assert len(got) == 900 and all(r.record_type == "response" for r in got)
+
+
+def test_warc_reads_many_small_records_in_linear_time():
+    import io
+    import time
+
+    body = b"".join(warc._member(warc.record(i, "u", b"x", None, warc.DATE)) for i in range(4000))
+    began = time.time()
+    assert sum(1 for _ in warc.records_of(io.BytesIO(body))) == 4000 and time.time() - began < 3

@@ -1,9 +1,12 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are cut into ranges of their key whose bounds depend on the data alone
-(quantiles of the keys that a hash picks), sorted, and written range by range:
+Records are cut into ranges of (key, hash of the payload) whose bounds depend on the data alone
+(quantiles of the rows that a hash picks), sorted, and written range by range:
 a file is closed once its compressed size reaches a target, and each range begins
-a new one. Headers, digests and record ids come from the record, dates from a
+a new one. Ranges hold several files: RANGE_BYTES of payload against FILE_BYTES
+compressed. There are at most MAX_RANGES; of more payload than they hold at that size, ranges
+and the default size of files grow alike, files up to MOST_FILE_BYTES. So the driver cuts ranges from
+a bounded number of keys, and tasks and files stay few, whatever the size. Headers, digests and record ids come from the record, dates from a
 parameter, and each record is a gzip member without a time, so the same table
 gives the same files byte for byte, however Spark deals it out.
 
@@ -23,7 +26,8 @@ line ends in a URL are percent-encoded; a null key sorts first and gives way to
 any other key as response, but where all equal payloads have null keys all stay
 responses; of rows equal in key and payload the first is the response, if the key
 is the largest, and the others revisit it; an empty table writes a manifest
-without files; further columns are ignored.
+without files; very long payloads are written whole, and close their file; repeated rows
+are each written; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,8 +38,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -45,13 +47,20 @@ from ._common import scratch_path, small_batches
 
 LEAST_PAYLOAD = 0
 #: Compressed bytes at which a file is closed, and payload bytes of a range.
-FILE_BYTES = 64 << 20
-RANGE_BYTES = 16 << 20
-#: Keys that are gathered to cut ranges, about.
+FILE_BYTES = 2 << 20
+MOST_FILE_BYTES = 1 << 30
+RANGE_BYTES = 32 << 20
+MAX_RANGES = 1 << 14
+#: Rows that are gathered to cut ranges, about, and rows of each range at least.
 SAMPLED_KEYS = 20_000
+SAMPLED_OF_RANGE = 16
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_BYTES = 1 << 20
+#: What a decompressor gets at once: the rest of it is handed to the next record's.
+FEED_BYTES = 4 << 10
+#: The place of a null key: before all others.
+NO_KEY = -(1 << 63)
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -98,16 +107,37 @@ def info_record(name: str, date: str) -> bytes:
     return _header(fields) + block + b"\r\n\r\n"
 
 
-def range_bounds(pages: DataFrame, key: str, ranges: int, sampled: int = SAMPLED_KEYS) -> list[int]:
-    """Keys that begin ranges 1 and up: quantiles of the keys whose hash is 0 modulo a number set by the rows alone."""
+def _place() -> F.Column:
+    """Where a row stands in the order of ranges: its key, null first, and a hash of its payload's digest."""
+    return F.struct(F.coalesce("key", F.lit(NO_KEY)).alias("k"), F.xxhash64("digest").alias("x"))
+
+
+def range_bounds(rows: DataFrame, ranges: int, sampled: int = SAMPLED_KEYS) -> list[tuple[int, int]]:
+    """Places that begin ranges 1 and up: quantiles of the rows whose hash is 0 modulo a number set by the rows alone."""
     if ranges < 2:
         return []
-    keys = pages.select(F.col(key).cast("long").alias("k")).where("k is not null")
-    every = max(1, keys.count() // max(sampled, 8 * ranges))
-    picked = np.sort(keys.where(F.crc32(F.col("k").cast("string").cast("binary")) % every == 0).toArrow().column("k").to_numpy())
-    if not len(picked):
+    places = rows.select(_place().alias("at")).select("at.k", "at.x")
+    every = max(1, places.count() // max(sampled, SAMPLED_OF_RANGE * ranges))
+    picked = places.where(F.crc32(F.concat_ws(":", "k", "x").cast("binary")) % every == 0).toArrow()
+    picked = sorted(zip(picked.column("k").to_pylist(), picked.column("x").to_pylist(), strict=True))
+    if not picked:
         return []
-    return sorted({int(picked[len(picked) * i // ranges]) for i in range(1, ranges)})
+    return sorted({picked[len(picked) * i // ranges] for i in range(1, ranges)})
+
+
+def with_shard(rows: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
+    """The rows with the number of their range: bounds up to their place, found among every step-th of them and then among step."""
+    if not bounds:
+        return rows.withColumn("shard", F.lit(0))
+    step = max(1, int(len(bounds) ** 0.5))
+    kind = "array<struct<k:long,x:long>>"
+    cut = rows.sparkSession.createDataFrame([(bounds[::step], bounds)], f"_coarse {kind}, _bounds {kind}")
+    at = _place()
+    # one row, of at most MAX_RANGES bounds
+    both = rows.crossJoin(F.broadcast(cut)).withColumn("_c", F.size(F.filter("_coarse", lambda b: b <= at)))
+    near = F.slice("_bounds", (F.greatest("_c", F.lit(1)) - 1) * step + 1, F.lit(step))
+    fine = F.size(F.filter(near, lambda b: b <= at))
+    return both.withColumn("shard", F.when(F.col("_c") == 0, 0).otherwise((F.col("_c") - 1) * step + fine)).drop("_coarse", "_bounds", "_c")
 
 
 class _Writer:
@@ -161,22 +191,22 @@ def write_warc(
     url: str = "url",
     payload: str = "html",
     least_payload: int = LEAST_PAYLOAD,
-    file_bytes: int = FILE_BYTES,
+    file_bytes: int | None = None,
     range_bytes: int = RANGE_BYTES,
     date: str = DATE,
 ) -> DataFrame:
-    """Writes all rows as archives below a URI; returns the manifest (name, records, bytes, sha256)."""
+    """Writes all rows as archives below a URI; returns the manifest (name, records, bytes, sha256).
+
+    file_bytes: compressed bytes at which a file is closed; by default as the table's size asks.
+    """
     spark = pages.sparkSession
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), body.cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
     total = pages.agg(F.coalesce(F.sum(F.octet_length(body)), F.lit(0))).first()[0]
-    bounds = np.array(range_bounds(pages, key, -(-total // range_bytes)), np.int64)
-
-    @F.pandas_udf("int")
-    def shard_of(keys: pd.Series) -> pd.Series:
-        at = np.searchsorted(bounds, keys.fillna(0).to_numpy(np.int64), side="right")
-        return pd.Series(np.where(keys.isna(), 0, at).astype(np.int32))
+    needed = -(-total // range_bytes)
+    file_bytes = file_bytes or min(MOST_FILE_BYTES, FILE_BYTES * max(1, -(-needed // MAX_RANGES)))
+    bounds = range_bounds(rows, min(needed, MAX_RANGES))
 
     # copies, over keys and digests alone
     narrow = rows.where(F.octet_length("payload") >= least_payload).select("key", "digest")
@@ -186,9 +216,9 @@ def write_warc(
     tagged = rows.withColumn("refers_to", nothing.cast("long")).withColumn("tag", F.lit(1)).unionByName(
         again.select("key", nothing.cast("string").alias("url"), nothing.cast("binary").alias("payload"), "digest", "refers_to", F.lit(0).alias("tag"))
     )
-    # one task for each range, so that a task's share is RANGE_BYTES or so at any size
-    sharded = tagged.withColumn("shard", shard_of("key")).repartitionById(len(bounds) + 1, F.col("shard"))
-    ordered = sharded.sortWithinPartitions("shard", "key", "digest", "tag", "url")
+    # one task for each range
+    sharded = with_shard(tagged, bounds).repartitionById(len(bounds) + 1, F.col("shard"))
+    ordered = sharded.sortWithinPartitions("shard", "key", F.xxhash64("digest"), "digest", "tag", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = _Writer(uri, file_bytes, date)
@@ -218,15 +248,17 @@ def write_warc(
 
 def records_of(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (lower-case names) and block of each gzip member of a stream."""
-    fields, held, unused = zlib.decompressobj(31), [], b""
+    fields, held, buffer, at = zlib.decompressobj(31), [], b"", 0
     while True:
-        chunk = unused or stream.read(READ_BYTES)
-        if not chunk:
-            if held:
-                raise ValueError("an archive ends within a record")
-            return
-        held.append(fields.decompress(chunk))
-        unused = fields.unused_data
+        if at >= len(buffer):
+            buffer, at = stream.read(READ_BYTES), 0
+            if not buffer:
+                if held:
+                    raise ValueError("an archive ends within a record")
+                return
+        fed = buffer[at : at + FEED_BYTES]
+        held.append(fields.decompress(fed))
+        at += len(fed) - len(fields.unused_data)
         if fields.eof:
             whole = b"".join(held)
             head, _, rest = whole.partition(b"\r\n\r\n")
