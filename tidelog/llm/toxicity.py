@@ -143,16 +143,28 @@ class BlockMaxIndex:
         self.column = np.full(n_terms, -1, np.int32)
         self.column[common] = np.arange(len(common))
         column = self.column[terms]
-        self.dense = np.zeros((self.width, len(common)))
         inside = column >= 0
-        self.dense[owner[inside], column[inside]] = weight[inside]
-        self.single = self.dense.astype(np.float32)
-        self.most = self.single.reshape(self.n_blocks, block, len(common)).max(1).T if self.n else np.zeros((len(common), 0), np.float32)
+        self.common = len(common), owner[inside], column[inside], weight[inside]
+        self._lay_out()
         # postings of the others by term
         order = np.argsort(terms[~inside], kind="stable")
         self.post, self.post_weight = owner[~inside][order], weight[~inside][order]
         self.edges = np.searchsorted(terms[~inside][order], np.arange(n_terms + 1))
 
+    def _lay_out(self) -> None:
+        columns, owner, column, weight = self.common
+        self.dense = np.zeros((self.width, columns))
+        self.dense[owner, column] = weight
+        self.single = self.dense.astype(np.float32)
+        self.most = self.single.reshape(self.n_blocks, self.block, columns).max(1).T if self.n else np.zeros((columns, 0), np.float32)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("dense", "single", "most")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._lay_out()
+
     def weigh(self, ids, tfs) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a vector of length 1."""
         at = np.asarray(ids, np.int64)
@@ -379,7 +391,7 @@ def _index(sample: DataFrame, vocabulary: Vocabulary, idf: np.ndarray) -> tuple[
     marks = sample.select("key", "th", "label", "text").withColumn("row", F.struct("key", "th", "label"))
     rows = vectors(marks, vocabulary, "row", "text").toArrow().to_pylist()
     rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["key"]["key"])), str(r["key"]["key"]), r["key"]["th"] or 0))
-    examples = [(np.array(r["terms"], np.int64), np.array(r["tfs"], np.int64)) for r in rows]
+    examples = [(np.array(r["terms"], np.int32), np.array(r["tfs"], np.int32)) for r in rows]
     # by the term that weighs most among those that many examples have
     many = np.bincount(np.concatenate([e[0] for e in examples]) if examples else np.empty(0, np.int64), minlength=len(idf)) * 100 >= len(examples)
     heads = []
