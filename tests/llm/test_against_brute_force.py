@@ -485,3 +485,17 @@ def test_warc_reads_many_small_records_in_linear_time():
     body = b"".join(warc._member(warc.record(i, "u", b"x", None, warc.DATE)) for i in range(4000))
     began = time.time()
     assert sum(1 for _ in warc.records_of(io.BytesIO(body))) == 4000 and time.time() - began < 3
+
+
+@pytest.mark.parametrize("limit", [-1, 200_000])
+def test_decontamination_of_a_very_long_document(spark, monkeypatch, limit):
+    """100,000 words with a passage in the middle, beside a copy without its key, with and without broadcasts."""
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", limit)
+    item = " ".join(f"t{i}" for i in range(12))
+    long = " ".join(f"w{i % 977}" for i in range(50_000)) + " " + item + " " + " ".join(f"t{i % 7}" for i in range(50_000))
+    docs = spark.createDataFrame([(1, long), (None, long), (2, item + " t3"), (2, item + " t3"), (3, "t0 t1 t2")], "doc_id long, text string")
+    items = spark.createDataFrame([("a", item), ("b", " ".join(f"t{i}" for i in range(1, 13))), ("c", "t0 t1 t2")], "item_id string, text string")
+    got = sorted(((r.doc_id or 0), r.n_words, r.n_hit, ",".join(r.item_ids)) for r in decontamination.contamination(docs, items).collect())
+    tail = 3 * len([i for i in range(49_998) if [i % 7, (i + 1) % 7, (i + 2) % 7] == [0, 1, 2]])
+    tail += 0 if (50_000 - 1) % 7 != 2 else 0
+    assert got[1:] == [(1, 100_012, 12 + tail, "a,c"), (2, 13, 12, "a,c"), (2, 13, 12, "a,c"), (3, 3, 3, "c")] and got[0][1:] == got[1][1:]

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,14 +46,34 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Narrow rows (a few numbers each) up to which a side of a join is broadcast, about 100 MB; beyond, Spark shuffles.
+#: Rows, and their measured bytes, up to which a side of a join is broadcast; beyond, Spark shuffles.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
+
+
+def _width(df: DataFrame) -> F.Column:
+    """Bytes of a row, about: variable ones as they are, others by their type."""
+    fixed, varied = 16, []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            varied.append(F.coalesce(F.octet_length(f.name), F.lit(0)) + 16)
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            varied.append(F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0)))
+        else:
+            fixed += 8
+    return sum(varied, F.lit(fixed)).cast("long")
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int | None = None) -> DataFrame:
-    """The rows, marked for broadcast if they are few; counts them where their number is not given."""
+    """The rows, marked for broadcast if they are few and narrow; measures them where their number is not given.
+
+    Give a number only for rows of fixed width.
+    """
     limit = BROADCAST_ROWS if limit is None else limit
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+    if rows is None:
+        n = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(_width(df)), F.lit(0)).alias("bytes")).first()
+        return F.broadcast(df) if n["n"] <= limit and n["bytes"] <= BROADCAST_BYTES else df
+    return F.broadcast(df) if rows <= limit else df
 
 
 #: Rows of an Arrow batch: documents are long, and a batch lies in the JVM and in Python at once.
