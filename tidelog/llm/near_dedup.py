@@ -16,18 +16,20 @@ sought:
    components;
 2. a group whose members all lie in one component is done. In every other group,
    the members outside its largest component are compared with all its members in
-   blocks; a block task compares through an inverted list of shingles and returns
+   blocks; a block task compares through an inverted list of prefixes (of the shingles,
+   the rarest in the block first, as many as two linked sets must share one of), with a bound on lengths, and returns
    links, at most one for each two components, never pairs.
 
 So no pair that shares a bucket and would join two components goes unverified,
-buckets of any size are split over tasks, and no group's pairs are emitted.
+buckets of any size are split over tasks, and no group's pairs are emitted. Keys that
+hold more than a HOT-th of a join's rows, fewer than HOT by that, are joined by broadcast or salted.
 
 Shingles are 64-bit hashes; a set is kept whole wherever it is compared.
 
 Edge cases: without words (or text) a set is empty and linked with nothing; with
 fewer words than a shingle has, all words are the one shingle; repeated rows are
-one class; a null key takes part and gives way to any other in its component; an
-empty table gives an empty result; further columns are ignored.
+one class; very long texts are read whole; a null key takes part and gives way to any other in its component; ties go
+to the smallest key; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -51,6 +53,8 @@ HELD_BLOCK = 512
 CLASSES = 10_000
 #: Places over which the members of one centre are dealt.
 SALTS = 16
+#: A key with more than a HOT-th of the rows is hot: there are fewer than HOT.
+HOT = 500
 #: Words whose hashes a worker remembers.
 KNOWN_WORDS = 250_000
 
@@ -142,6 +146,13 @@ def _sets(docs: DataFrame, key: str, text: str, shingle: int, wanted: DataFrame)
     return small_batches(rows).mapInArrow(run, "cid long, n long, items array<long>")
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """An inner join with right's narrow rows (key, n, ..), one a key, n: its rows on the left, of total; hot keys by broadcast."""
+    hot = F.broadcast(right.where(F.col("n") * HOT > total).drop("n"))
+    cold = left.join(hot.select(key), key, "left_anti").join(right.where(F.col("n") * HOT <= total).drop("n"), key)
+    return left.join(hot, key).unionByName(cold)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(v, label) for every vertex of edges (a, b); label is the smallest vertex of its component.
 
@@ -149,18 +160,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     each step is written, so that a lost executor costs one step at most.
     """
     e = written(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u > v").distinct(), "edges")
-    state = None
-    while True:
+    sums = F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("v", "u")), F.lit(0)).alias("x")
+    state = e.agg(*sums).first()
+    while state["n"]:
         both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
         # large star: neighbours above u hang on the smallest of u's neighbourhood
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("v"), F.col("v").alias("u")).where("u > v").distinct()
-        below = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = join_hot(both, low, "u", 2 * state["n"]).where("v > u").select(F.col("m").alias("v"), F.col("v").alias("u")).where("u > v").distinct()
+        large = written(large, "stars")
+        below = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         # small star: u and its neighbours below hang on the smallest of them
-        small = large.join(below, "u").select(F.col("m"), F.explode(F.array("u", "v")).alias("u")).select(F.col("m").alias("v"), "u")
+        small = join_hot(large, below, "u", large.count()).select(F.col("m"), F.explode(F.array("u", "v")).alias("u")).select(F.col("m").alias("v"), "u")
         e = written(small.where("u > v").distinct(), "edges")
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("v", "u")), F.lit(0)).alias("x")).first()
-        if now == state or not now["n"]:
+        now = e.agg(*sums).first()
+        if now == state:
             break
         state = now
     return e.select(F.col("u").alias("v"), F.col("v").alias("label")).unionByName(e.select("v", F.col("v").alias("label")).distinct())
@@ -175,25 +188,35 @@ def _block_links(num: int, den: int):
         held = np.flatnonzero(~table.column("sought").to_numpy(zero_copy_only=False))
         items = table.column("items").combine_chunks()
         flat, ends = items.flatten().to_numpy(), items.offsets.to_numpy() - items.offsets[0].as_py()
-        own = [flat[ends[i] : ends[i + 1]] for i in range(len(cid))]
         links: dict[tuple[int, int], tuple[int, int]] = {}
         if len(sought) and len(held):
-            listed = np.concatenate([own[i] for i in sought])
-            owner = np.repeat(np.arange(len(sought)), [len(own[i]) for i in sought])
-            order = np.argsort(listed, kind="stable")
-            listed, owner = listed[order], owner[order]
+            # shingles by how many sets of the cell have them, rarest first, ties by value
+            values, inverse, seen = np.unique(flat, return_inverse=True, return_counts=True)
+            order = np.empty(len(values), np.int64)
+            order[np.lexsort((values, seen))] = np.arange(len(values))
+            ranked = [np.sort(order[inverse[ends[i] : ends[i + 1]]]) for i in range(len(cid))]
+            # of two linked sets, each has a shared shingle among its first n - ceil(n * num / den) + 1
+            first = [x[: len(x) - -(-len(x) * num // den) + 1] for x in ranked]
+            listed = np.concatenate([first[i] for i in sought])
+            owner = np.repeat(np.arange(len(sought)), [len(first[i]) for i in sought])
+            by_value = np.argsort(listed, kind="stable")
+            listed, owner = listed[by_value], owner[by_value]
             for j in held:
-                left = np.searchsorted(listed, own[j], "left")
-                counts = np.searchsorted(listed, own[j], "right") - left
+                left = np.searchsorted(listed, first[j], "left")
+                counts = np.searchsorted(listed, first[j], "right") - left
                 total = int(counts.sum())
                 if not total:
                     continue
-                at = np.repeat(left - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(total)
-                both = np.bincount(owner[at], minlength=len(sought))
-                union = n[sought] + n[j] - both
-                for i in sought[(both * den >= union * num) & (label[sought] != label[j])]:
+                near = np.unique(owner[np.repeat(left - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(total)])
+                i = sought[near]
+                open_ = (label[i] != label[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
+                for i in i[open_]:
                     pair = (min(label[i], label[j]), max(label[i], label[j]))
-                    links.setdefault(pair, (cid[i], cid[j]))
+                    if pair in links:
+                        continue
+                    both = len(np.intersect1d(ranked[i], ranked[j], assume_unique=True))
+                    if both * den >= (n[i] + n[j] - both) * num:
+                        links[pair] = (cid[i], cid[j])
         got = sorted(links)
         return pa.table({"a": pa.array([p[0] for p in got], pa.int64()), "b": pa.array([p[1] for p in got], pa.int64())})
 
@@ -206,9 +229,9 @@ def near_components(
     """(key, n_shingles, component_id, kept, th), th a hash of the text: documents linked where den * intersection >= num * union."""
     sigs = written(signatures(docs, key, text, shingle, halves), "signatures")
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "th")).alias("first")
-    classes = sigs.where("cls is not null").groupBy("cls").agg(first, F.first("n").alias("n"), F.first("halves").alias("halves"))
+    classes = sigs.where("cls is not null").groupBy("cls").agg(first, F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("halves").alias("halves"))
     classes = written(
-        classes.select(F.monotonically_increasing_id().alias("cid"), "cls", F.col("first.key").alias("key"), F.col("first.th").alias("th"), "n", "halves"),
+        classes.select(F.monotonically_increasing_id().alias("cid"), "cls", F.col("first.key").alias("key"), F.col("first.th").alias("th"), "rows", "n", "halves"),
         "classes",
     )
     # tables: one key for each two half keys
@@ -222,12 +245,16 @@ def near_components(
     members = stars.unionByName(stars.select(F.col("centre").alias("cid"), "centre").distinct())
     wanted = written(members.select("cid").distinct().join(classes.select("cid", "key", "th"), "cid"), "wanted")
     sets = written(_sets(docs, key, text, shingle, wanted), "sets")
-    # links with the centre
-    with_own = stars.join(sets, "cid")
-    of_centre = sets.select(F.col("cid").alias("centre"), F.col("n").alias("cn"), F.col("items").alias("citems"))
+    # links with the centre, the stars of a hot one dealt over SALTS places
+    total = stars.count()
+    hot = F.broadcast(written(stars.groupBy("centre").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") * HOT > total).select("centre", F.lit(True).alias("hot")), "hot-centres"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int")).otherwise(0)
+    with_own = stars.join(hot, "centre", "left").withColumn("salt", salt).drop("hot").join(sets, "cid")
+    of_centre = sets.select(F.col("cid").alias("centre"), F.col("n").alias("cn"), F.col("items").alias("citems")).join(hot, "centre", "left")
+    of_centre = of_centre.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
     close = (F.least("n", "cn") * den >= F.greatest("n", "cn") * num)
     both = F.size(F.array_intersect("items", "citems"))
-    linked = with_own.join(of_centre, "centre").where(close).where(both * den >= (F.col("n") + F.col("cn") - both) * num)
+    linked = with_own.join(of_centre, ["centre", "salt"]).where(close).where(both * den >= (F.col("n") + F.col("cn") - both) * num)
     labels = written(connected_components(linked.select(F.col("cid").alias("a"), F.col("centre").alias("b"))), "labels")
     # groups over several components
     label = F.coalesce("label", "cid").alias("label")
@@ -255,11 +282,16 @@ def near_components(
     comp = comp.select(F.col("v").alias("cid"), F.coalesce("upper", "label").alias("comp"))
     single = joined.select(F.col("v").alias("cid"), F.col("label").alias("comp")).join(labels.select(F.col("v").alias("cid")), "cid", "left_anti")
     comp = written(comp.unionByName(single), "components")
-    grouped = comp.join(classes.select("cid", "key"), "cid")
-    least = grouped.groupBy("comp").agg(F.min("key").alias("component"))
-    of_class = classes.select("cid", "cls", "key").join(comp, "cid", "left").join(least, "comp", "left")
-    of_class = of_class.select("cls", F.coalesce("component", "key").alias("component"))
-    out = sigs.select("key", "th", "n", "cls").join(of_class, "cls", "left")
+    grouped = written(comp.join(classes.select("cid", "key"), "cid"), "grouped")
+    least = grouped.groupBy("comp").agg(F.min("key").alias("component"), F.count(F.lit(1)).alias("n"))
+    of_class = join_hot(grouped.select("cid", "comp"), least, "comp", grouped.count()).select("cid", "component")
+    of_class = classes.select("cid", "cls", "key", F.col("rows").alias("n")).join(of_class, "cid", "left")
+    of_class = written(of_class.select("cls", F.coalesce("component", "key").alias("component"), "n"), "of-class")
+    # documents without a set are alone; copies of one text may be many
+    narrow = sigs.select("key", "th", "n", "cls")
+    worded = narrow.where("cls is not null").select("key", "th", F.col("n").alias("size"), "cls")
+    worded = join_hot(worded, of_class, "cls", worded.count()).select("key", "th", F.col("size").alias("n"), "cls", "component")
+    out = worded.unionByName(narrow.where("cls is null").withColumn("component", F.col("key")))
     component = F.when(F.col("cls").isNull(), F.col("key")).otherwise(F.col("component"))
     return out.select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"), "th"
@@ -269,12 +301,18 @@ def near_components(
 def drop_near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 80, den: int = 100, halves: int = 16
 ) -> DataFrame:
-    """The documents less all but one of each component, all columns kept; of rows with one key and text one stays."""
+    """The documents less all but one of each component, all columns kept.
+
+    Of rows with one key and one text, which has words, one stays (any of them, where further columns differ);
+    rows without words are linked with nothing and stay, repeated or not.
+    """
     out = written(near_components(docs, key, text, shingle, num, den, halves), "components")
     gone = broadcast_if_small(out.where(~F.col("kept")).select(F.col(key).alias("_k"), F.col("th").alias("_h")).distinct())
     left = docs.join(gone, docs[key].eqNullSafe(gone["_k"]) & (F.xxhash64(docs[text]) == gone["_h"]), "left_anti")
-    repeated = out.where("kept and n_shingles > 0").groupBy(key, "th").count().where("count > 1").limit(1).count()
-    return left.dropDuplicates([key, text]) if repeated else left
+    again = out.where("kept and n_shingles > 0").groupBy(F.col(key).alias("_k"), F.col("th").alias("_h")).count().where("count > 1").drop("count")
+    again = broadcast_if_small(written(again, "repeated"))
+    same = docs[key].eqNullSafe(again["_k"]) & (F.xxhash64(docs[text]) == again["_h"])
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([key, text]))
 
 
 def op4_tensored_minhash(spark, sf_dir: str) -> DataFrame:
