@@ -34,6 +34,7 @@ results; further columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -70,6 +71,8 @@ KNOWN_VECTORS = 20_000
 MARGIN = 1e-5
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: The same in a lower-cased text of ASCII alone.
+_ASCII_WORD = re.compile(r"[a-z]+")
 
 
 def terms_of(word: str) -> list[str]:
@@ -79,7 +82,10 @@ def terms_of(word: str) -> list[str]:
 
 def words_of(text: str | None) -> Counter:
     """A text's words with their counts."""
-    return Counter(_WORD.findall(text.lower())) if text else Counter()
+    if not text:
+        return Counter()
+    low = text.lower()
+    return Counter((_ASCII_WORD if low.isascii() else _WORD).findall(low))
 
 
 def term_weight(tfs: np.ndarray) -> np.ndarray:
@@ -231,11 +237,11 @@ class BlockMaxIndex:
             if but is not None:
                 own = own[own != but[i]]
             # by itself, so that the sums do not depend on what else is searched
-            dense = self.dense[own[:, None], column[None, :]]
+            dense = self.dense.ravel().take((own * self.dense.shape[1])[:, None] + column[None, :])
             cosine = np.minimum(1.0, np.round((dense * w[inside]).sum(1) + rare[i, own], 9))
             top = np.lexsort((own, -cosine))[:k]
             top = top[cosine[top] > 0]
-            own, cosine, dense = own[top], cosine[top], dense[top] > 0
+            own, cosine, dense = own[top], cosine[top], (dense[top] > 0).astype(np.float64)
             rank[own] = np.arange(len(own))
             row = rank[owner]
             rank[own] = -1
