@@ -13,15 +13,13 @@ which either document has a term.
 Terms are the text's bytes, A-Z lower-cased, cut at ASCII white space. Document
 frequencies are counted over all documents with partial sums. The lexicon's
 size does not grow with the corpus: at a least document frequency of f of all
-documents it holds at most (mean distinct terms of a document) / f terms. Of a band
-with more than MAX_TERMS terms the most frequent MAX_TERMS count.
+documents it holds at most (mean distinct terms of a document) / f terms.
 
-Edge cases: a null text is an empty one; without terms all hashes are zero, and
-such documents are alike; a document with fewer than LEAST terms in the lexicon
-is hashed by all its terms; equal texts have equal fingerprints; rows are put in
+Edge cases: a null text is an empty one; without terms of the lexicon all hashes are zero, and
+such documents are alike; very long texts are read whole; equal texts have equal fingerprints; rows are put in
 order of key, null first, then of a hash of the text, so repeated keys and rows follow
-each other; the last row's next is the first, which in a table of one row is
-itself; an empty table gives an empty result; further columns are ignored.
+each other, and ties beyond that are equal texts; the last row's next is the first, which in a table of one row is
+itself; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,8 +40,8 @@ from ._common import as_bytes, slices, small_batches, written
 
 #: The band: document frequency as a share of all documents, so idf from ln 5 to ln 1000.
 LEAST_SHARE, MOST_SHARE = 0.001, 0.2
-MAX_TERMS = 1 << 19
-LEAST = 2
+#: Terms of the band that a document must have for the band to hold: none, it holds for all.
+LEAST = 0
 #: How many random subsets keep a term with a chance of 2 ** -exponent, by exponent.
 SUBSETS = {3: 2, 4: 2, 5: 4, 6: 6, 7: 6, 8: 6, 9: 6}
 CHANCES = [2.0**-e for e, n in SUBSETS.items() for _ in range(n)]
@@ -74,13 +72,11 @@ def term_counts(docs: DataFrame, text: str) -> DataFrame:
     return small_batches(docs.select(F.col(text).alias("text"))).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def lexicon(docs: DataFrame, text: str, least: float = LEAST_SHARE, most: float = MOST_SHARE, max_terms: int = MAX_TERMS) -> np.ndarray:
+def lexicon(docs: DataFrame, text: str, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> np.ndarray:
     """Hashes of the terms in the band."""
     total = docs.count()
     low, high = max(2, math.ceil(total * least)), max(2, math.floor(total * most))
     band = written(term_counts(docs, text).where(F.col("n").between(low, high)), "lexicon")
-    if band.count() > max_terms:
-        band = band.orderBy(F.desc("n"), "term").limit(max_terms)
     rows = band.select("term").toArrow().column("term").to_numpy()
     return np.sort(rows).view(np.uint64)
 
@@ -119,12 +115,10 @@ class Fingerprints:
             mask = dict(zip(own, self.masks(np.array(own, np.uint64)).tolist(), strict=True)) if own else {}
             known.update((w, (h, mask[h]) if h in mask else None) for w, h in zip(new, hashes, strict=True))
         pairs = {p for w in words if (p := known[w])}
-        if len(pairs) < LEAST:
-            terms = np.unique(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64))
-            masks = self.masks(terms)
-        else:
-            both = np.array(sorted(pairs), np.uint64)
-            terms, masks = both[:, 0], both[:, 1]
+        if not pairs:
+            return out
+        both = np.array(sorted(pairs), np.uint64)
+        terms, masks = both[:, 0], both[:, 1]
         out[0] = xxhash.xxh32_intdigest(terms.tobytes()) or 1
         bits = (masks[:, None] >> np.arange(len(CHANCES), dtype=np.uint64)[None, :]) & np.uint64(1)
         for i in np.flatnonzero(bits.any(0)):
@@ -180,8 +174,8 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     """Every document's fingerprint, its edited text's, and its likeness to that and to the next document's.
 
     Rows are range-partitioned and sorted; a task judges all of its rows but the
-    last, and hands on its first and last. Those, two for each partition, are
-    joined to each other in one small step.
+    last, and hands on its first and last. The partitions that have rows are numbered,
+    and each one's last text is joined with the next one's first.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(lexicon(docs, text))
@@ -219,11 +213,12 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
             yield out([last[0]], [blank], 2, [last[1]])
 
     body = written(small_batches(ordered).mapInArrow(run, f"key {kind}, {_MADE}, part int, edge int, text string"), "judged")
-    # two rows for each partition: the first row of a partition follows the last of the one before
-    line = Window.orderBy("part", "edge")
-    ends = body.where("edge > 0").select("key", "text", "part", "edge")
-    ends = ends.select("key", "text", "edge", F.lead("text").over(line).alias("following"), F.first("text").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("foremost"))
-    ends = ends.where("edge = 2").select("key", "text", F.coalesce("following", "foremost").alias("following"))
+    # one number for each partition that has rows, without its texts: the last text of a partition is followed by the first of the next
+    line = Window.orderBy("part")
+    firsts = body.where("edge = 1").select(F.col("part").alias("after"), F.col("text").alias("following"))
+    numbers = body.where("edge = 1").select("part", F.lead("part").over(line).alias("after"), F.first("part").over(line).alias("foremost"))
+    numbers = numbers.select("part", F.coalesce("after", "foremost").alias("after"))
+    ends = body.where("edge = 2").select("key", "text", "part").join(numbers, "part").join(firsts, "after").select("key", "text", "following")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = Fingerprints(sent.value)
