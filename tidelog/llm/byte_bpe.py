@@ -9,15 +9,17 @@ whose bytes join to a token, at the joined token's rank.
 
 Distinct pieces are encoded in batches and remembered, up to CACHE pieces a
 worker, since most pieces of a corpus are words that come again and again.
-Decoding takes ids alone: it looks up each token's bytes in the reversed table and joins them. A
-character may be split over tokens; it is whole again in the joined bytes, and
+Decoding takes ids alone: it joins the tokens' characters and maps each back to its byte
+by the reversed table. A character may be split over tokens: a token that begins inside
+one is counted as split; the character is whole again in the joined bytes, and
 bytes that make no whole character decode to U+FFFD.
 
 Offsets of tokens are code points of the text: a token begins at the character
 that holds its first byte and ends after the one that holds its last, so tokens
 that share a split character overlap in it.
 
-Edge cases: a null text is encoded as an empty one, with no tokens; repeated rows
+Edge cases: a null text is encoded as an empty one, with no tokens; very long texts are
+encoded whole; repeated rows
 are encoded each by itself; an empty table gives an empty result; further
 columns are ignored, whatever their names; ids outside the vocabulary raise a
 ValueError when decoded.
@@ -64,11 +66,14 @@ class ByteBPE:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         to_char = byte_characters()
         self.table = "".join(to_char)
+        self.bytes_of = {ord(c): b for b, c in enumerate(to_char)}
         self.pattern = regex.compile(pattern)
         self.tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
         spelled = {token: self.spell(token) for token in ranks}
+        self.spelled = [None if t is None else spelled[t] for t in self.tokens]
+        self.continues = np.array([t is not None and t[0] & 0xC0 == 0x80 for t in self.tokens], bool)
         merges = []
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             merges += [
@@ -79,6 +84,7 @@ class ByteBPE:
         vocab = {s: ranks[token] for token, s in spelled.items()}
         self.model = Tokenizer(BPE(vocab=vocab, merges=merges, ignore_merges=True, cache_capacity=0))
         self.known: dict[str, bytes] = {}
+        self.places: dict[str, tuple[bytes, bytes, int]] = {}
 
     def spell(self, raw: bytes) -> str:
         """Bytes as characters, one for each byte."""
@@ -113,14 +119,48 @@ class ByteBPE:
             offsets += [(int(char[a]), int(char[b - 1]) + 1) for a, b in got.offsets]
         return ids, offsets
 
+    def _place(self, piece: str, ids: bytes) -> tuple[bytes, bytes, int]:
+        """Where a piece's tokens begin and end in it, in code points, as 32-bit integers; and its length."""
+        raw = piece.encode()
+        ends = np.cumsum([len(self.tokens[i]) for i in np.frombuffer(ids, "<u4")])
+        starts = np.r_[0, ends[:-1]].astype(np.int64)
+        char = np.cumsum(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80) - 1
+        return char[starts].astype("<u4").tobytes(), (char[ends - 1] + 1).astype("<u4").tobytes(), len(piece)
+
+    def offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Where each token of an encoded text begins and ends, in code points."""
+        known, places = self.known, self.places
+        if len(places) > CACHE:
+            places.clear()
+        found = []
+        at = []
+        for m in self.pattern.finditer(text):
+            piece = m[0]
+            got = places.get(piece)
+            if got is None:
+                got = self._place(piece, known[piece] if piece in known else self.encode(piece))
+                if len(piece) <= CACHED_CHARS:
+                    places[piece] = got
+            found.append(got)
+            at.append(m.start())
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        starts, ends = (np.frombuffer(b"".join([x[i] for x in found]), "<u4").astype(np.int64) for i in (0, 1))
+        base = np.repeat(at, [len(x[0]) // 4 for x in found])
+        return starts + base, ends + base
+
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        """The bytes of a sequence of ids."""
-        tokens = self.tokens
+        """The bytes of a sequence of ids: their tokens' characters, each mapped back to its byte."""
+        spelled = self.spelled
         try:
-            return b"".join([tokens[i] for i in ids])
+            return "".join([spelled[i] for i in ids]).translate(self.bytes_of).encode("latin-1")
         except (IndexError, TypeError):
             raise ValueError("an id is outside the vocabulary") from None
 
+    def split_tokens(self, ids: np.ndarray) -> int:
+        """How many tokens begin inside a character that an earlier one began."""
+        return int(self.continues[ids].sum())
+
     def decode(self, ids: Iterable[int]) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
@@ -142,20 +182,22 @@ def with_tokens(
 ) -> DataFrame:
     """The documents, all columns kept, with n_tokens, digests of ids and of the decoded bytes, and the ids as 32-bit integers.
 
-    with_offsets: starts and ends of tokens too, in code points.
+    with_offsets: starts and ends of tokens too, in code points, if ids are asked for; else their digest, as little-endian
+    unsigned 32-bit integers, all starts and then all ends, and the number of tokens that begin inside a character.
     """
     names = docs.columns
     at = names.index(text)
     inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
     made = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")] + [("ids", "array<int>")] * with_ids
-    made += [("starts", "array<int>"), ("ends", "array<int>")] * with_offsets
+    if with_offsets:
+        made += [("starts", "array<int>"), ("ends", "array<int>")] if with_ids else [("offsets_sha256", "string"), ("n_split", "long")]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema.fields) + "".join(f", _{n} {t}" for n, t in made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, pat = _published() if ranks_path is None else (ranks_path, pattern)
         bpe = vocabulary(path, pat)
         for batch in slices(batches, f"c{at}", 2 << 20):
-            n, ids_sha, decoded_sha, all_ids, places = [], [], [], [], []
+            n, ids_sha, decoded_sha, all_ids, places, split = [], [], [], [], [], []
             for body in batch.column(at).to_pylist():
                 packed = bpe.encode(body or "")
                 ids = np.frombuffer(packed, "<u4")
@@ -165,12 +207,16 @@ def with_tokens(
                 if with_ids:
                     all_ids.append(ids.astype(np.int32))
                 if with_offsets:
-                    places.append(bpe.encode_with_offsets(body or "")[1])
+                    places.append([x.astype("<i4") for x in bpe.offsets(body or "")])
+                    split.append(bpe.split_tokens(ids))
             columns = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             if with_ids:
                 columns.append(pa.array(all_ids, pa.list_(pa.int32())))
-            if with_offsets:
-                columns += [pa.array([[p[i] for p in x] for x in places], pa.list_(pa.int32())) for i in (0, 1)]
+            if with_offsets and with_ids:
+                columns += [pa.array([x[i] for x in places], pa.list_(pa.int32())) for i in (0, 1)]
+            elif with_offsets:
+                digests = [hashlib.sha256(a.tobytes() + b.tobytes()).hexdigest() for a, b in places]
+                columns += [pa.array(digests, pa.string()), pa.array(split, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *(f"_{m[0]}" for m in made)])
 
     taken = {m[0] for m in made}
@@ -179,8 +225,8 @@ def with_tokens(
 
 
 def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of every document."""
-    return with_tokens(docs.select(key, text), text, ranks_path, pattern, with_ids=False).drop(text)
+    """(key, n_tokens, ids_sha256, decoded_sha256, offsets_sha256, n_split) of every document."""
+    return with_tokens(docs.select(key, text), text, ranks_path, pattern, with_ids=False, with_offsets=True).drop(text)
 
 
 def decode_ids(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
