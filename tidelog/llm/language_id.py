@@ -3,19 +3,19 @@
 A text's words are runs of letters, cut where the script changes and into pieces
 of at most PIECE letters (PIECE_UNSPACED in scripts without blanks). Each word has a script (that of its first
 letter) and, for every learned language, the log likelihood of its character
-trigrams; languages in which that script is next to absent are no candidates for
+n-grams of two to four; languages in which that script is next to absent are no candidates for
 the word, unless all are. A Viterbi pass over the words with one penalty for any switch of
 language gives every word its label, so a text of several languages falls into
 spans. The document's language is the one with the most letters; the
 score is its share of the letters times its posterior over the labelled words.
 
 Learning takes a bounded sample of the labelled documents: the MAX_DOCS with the
-lowest hashes of their ids, whole. It counts their trigrams and scripts with
-partial sums on the executors; what reaches the driver is at most MAX_FEATURES
-counts, the most frequent of each language in turn.
+lowest hashes of their ids, whole. It counts their n-grams and scripts with
+partial sums on the executors; what reaches the driver are the counts of that
+sample, each n-gram of each language once.
 
 Edge cases: a null text, one without letters, or no learned language give ``und``
-with score 0; a null doc_id is not learned from and not held out; repeated rows
+with score 0; very long texts are read whole; of languages that tie, for a word or a document, the first by name counts; a null doc_id is not learned from and not held out; repeated rows
 are learned from once and predicted each by itself; empty tables give empty results;
 further columns are ignored, whatever their names.
 """
@@ -36,13 +36,12 @@ from pyspark.sql import functions as F
 
 from ._common import slices, small_batches
 
-#: Counts that the model keeps, over all languages: each language's first, then each one's second, and so on.
-MAX_FEATURES = 300_000
 #: Labelled documents that are learned from.
 MAX_DOCS = 20_000
 #: Cost of a switch, and how far below the best a word may put a candidate, in nats; a word
 #: of more than FLOOR_LETTERS letters by as much more as it is longer.
 SWITCH = 14.0
+GRAMS = (2, 3, 4)
 FLOOR = 6.0
 FLOOR_LETTERS = 8
 #: A language's share of letters in a script from which it is a candidate there.
@@ -102,9 +101,9 @@ def words_of(text: str) -> list[str]:
 
 
 def grams(word: str) -> list[str]:
-    """Character trigrams of a word with its ends marked."""
+    """Character n-grams of a word with its ends marked, of each length in GRAMS."""
     w = f"<{word}>"
-    return [w[i : i + 3] for i in range(len(w) - 2)]
+    return [w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)]
 
 
 def remainder(key: F.Column, modulus: int) -> F.Column:
@@ -275,16 +274,22 @@ def _predicted(texts: list[str | None], scorer: Scorer, with_spans: bool) -> tup
 
 
 def learn(
-    labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS, max_features: int = MAX_FEATURES
+    labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS, max_features: int | None = None
 ) -> Model:
-    """A model of labelled documents, of at most max_docs of them (and those that share the last one's hash)."""
+    """A model of labelled documents, of at most max_docs of them (and those that share the last one's hash).
+
+    max_features: counts that a smaller model keeps, over all languages: each language's first, then each one's second,
+    and so on; of equal counts, n-grams of three come first.
+    """
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     last = usable.select(F.xxhash64(key).alias("x")).distinct().orderBy("x").limit(max_docs).agg(F.max("x")).first()[0]
     sample = usable.where(F.xxhash64(key) <= F.lit(last)).select(key, text, lang).distinct()
     rows = count_features(sample, text, lang)
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.col("feature").startswith("script:")), F.desc("n"), "feature"))
-    rows = rows.withColumn("nth", nth).where(F.col("nth") <= max_features).orderBy("nth", "lang").limit(max_features)
-    return Model([tuple(r) for r in rows.select("lang", "feature", "n").collect()])
+    if max_features is not None:
+        nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.col("feature").startswith("script:")), F.desc("n"), F.abs(F.length("feature") - 3), "feature"))
+        rows = rows.withColumn("nth", nth).where(F.col("nth") <= max_features).orderBy("nth", "lang").limit(max_features)
+    rows = rows.select("lang", "feature", "n").toArrow()
+    return Model(list(zip(*(rows.column(c).to_pylist() for c in ("lang", "feature", "n")), strict=True)))
 
 
 def _with_predictions(docs: DataFrame, model: Model, text: str, with_spans: bool) -> DataFrame:
