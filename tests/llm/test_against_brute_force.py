@@ -509,3 +509,154 @@ def test_decontamination_of_a_very_long_document(spark, monkeypatch, limit):
 
     got = {(r.doc_id, r.n_words, r.n_hit, ",".join(r.item_ids)) for r in decontamination.contamination(docs, items).collect()}
     assert got == {(r.doc_id, *plain(r.text)) for r in docs.collect()} and ("a,b,c" in {g[3] for g in got})
+
+
+def test_language_query_equals_a_plain_version(spark):
+    """Counts, word scores, Viterbi and document scores by plain loops over every document of the fixture."""
+    import math
+
+    import regex
+
+    rows = duckdb.sql(f"SELECT doc_id, text, lang FROM '{SF}/documents.parquet'").fetchall()
+    word = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+
+    def pieces(text):
+        return [x for run in word.findall(text.lower()) for x in language_id._cut(run)]
+
+    def ngrams(w):
+        return [f"<{w}>"[i : i + n] for n in (2, 3, 4) for i in range(len(w) + 3 - n)]
+
+    counts, letters = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for d, text, lang in rows:
+        if lang is not None and text is not None and zlib.crc32(str(d).encode()) % 3 != 1:
+            for w in pieces(text):
+                counts[lang].update(ngrams(w))
+                letters[language_id.script_of(w[0])][lang] += len(w)
+    langs = sorted(counts)
+    size = len({g for c in counts.values() for g in c})
+    below = {x: sum(counts[x].values()) + 0.5 * size for x in langs}
+
+    def word_score(w):
+        raw = [sum(math.log((counts[x][g] + 0.5) / below[x]) for g in ngrams(w)) for x in langs]
+        own = letters.get(language_id.script_of(w[0]))
+        shut = [own[x] / max(1, sum(own.values())) < language_id.SCRIPT_SHARE for x in langs] if own else [False] * len(langs)
+        if any(shut) and not all(shut):
+            raw = [-math.inf if s else v for s, v in zip(shut, raw, strict=True)]
+        best, floor = max(raw), -language_id.FLOOR * max(1.0, len(w) / language_id.FLOOR_LETTERS)
+        return [v if v == -math.inf else max(v - best, floor) for v in raw]
+
+    def plain(text):
+        words = pieces(text or "")
+        if not words:
+            return "und", 0.0
+        scores = [word_score(w) for w in words]
+        value, back = scores[0], []
+        for s in scores[1:]:
+            top = max(range(len(langs)), key=lambda i: (value[i], -i))
+            step = [top if value[i] < value[top] - language_id.SWITCH else i for i in range(len(langs))]
+            back.append(step)
+            value = [(value[top] - language_id.SWITCH if step[i] == top and i != top else value[i]) + s[i] for i in range(len(langs))]
+        path = [max(range(len(langs)), key=lambda i: (value[i], -i))]
+        for step in reversed(back):
+            path.append(step[path[-1]])
+        path.reverse()
+        mass = [sum(len(w) for w, x in zip(words, path, strict=True) if x == i) for i in range(len(langs))]
+        top = max(range(len(langs)), key=lambda i: (mass[i], -i))
+        own = [s for s, x in zip(scores, path, strict=True) if x == top]
+        mean = [sum(s[i] for s in own) / len(own) * min(20, len(own)) for i in range(len(langs))]
+        return langs[top], mass[top] / sum(mass) / sum(math.exp(m - mean[top]) for m in mean)
+
+    expected = {d: plain(t) for d, t, _ in rows}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in rows_of(spark, "op7_language_viterbi")}
+    assert got.keys() == expected.keys()
+    assert all(got[d][0] == x[0] and abs(got[d][1] - x[1]) < 1e-3 for d, x in expected.items())
+
+
+def test_toxicity_query_equals_a_plain_version(spark):
+    """Vectors, neighbours, votes, evidence, both fits and scores by dense arithmetic over every document of the fixture."""
+    texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall())
+    marks = {d: t for d, t in duckdb.sql(f"SELECT doc_id, toxic FROM '{SF}/labels.parquet'").fetchall() if zlib.crc32(str(d).encode()) % 4 != 2 and d in texts}
+    rows = {r.doc_id: r for r in rows_of(spark, "op9_nearest_toxicity")}
+    counts = {d: collections.Counter(t for w, n in toxicity.words_of(x).items() for t in [w, w[:4] + "*"][: 1 + (len(w) >= 4)] for _ in range(n)) for d, x in texts.items()}
+    terms = sorted({t for d in marks for t in counts[d]})
+    at = {t: i for i, t in enumerate(terms)}
+    df = collections.Counter(t for c in counts.values() for t in c)
+    dense = {}
+    for d, c in counts.items():
+        v = np.zeros(len(terms))
+        for t, n in c.items():
+            if t in at:
+                v[at[t]] = (1 + np.log(n)) ** 2 * np.log(1 + len(texts) / df[t])
+        dense[d] = v / (np.linalg.norm(v) or 1)
+    keys = sorted(marks)
+    matrix, label = np.array([dense[d] for d in keys]), np.array([marks[d] for d in keys], float)
+    prior = label.mean()
+
+    def votes(d, but=None):
+        cosine = np.round(matrix @ dense[d], 9)
+        near = [i for i in np.argsort(-cosine, kind="stable") if cosine[i] > 0 and keys[i] != but][: toxicity.K]
+        if not near:
+            return prior, 0.0, None
+        c = cosine[near]
+        w = 1 / (0.05 + 1 - c / c[0])
+        w /= w.mean()
+        y = label[near]
+        share = (w @ y + 2 * prior) / (w.sum() + 2)
+        z = []
+        for t in np.flatnonzero(dense[d]):
+            has = matrix[near, t] > 0
+            mass = w[has].sum()
+            z.append((w * y)[has].sum() - mass * share if mass > 1.5 else 0.0)
+            z[-1] /= np.sqrt(mass * share * (1 - share) * max(0.0, 1 - mass / (w.sum() + 1)) + 0.5)
+        return (w @ y + prior) / (w.sum() + 1), float(np.mean(sorted(z)[-6:])), c[0]
+
+    own = [votes(d, d) for d in keys]
+    fit = toxicity.Calibration(np.array([x[0] for x in own]), np.array([x[1] for x in own]), label)
+    # the fit is a minimum of the penalised log loss, and the isotonic part keeps the order
+    x = np.stack([np.log([v[0] / (1 - v[0]) for v in own]), [v[1] for v in own]], axis=1)
+    z = np.c_[np.ones(len(x)), (x - x.mean(0)) / (x.std(0) + 1e-9)]
+    p = 1 / (1 + np.exp(-z @ fit.beta))
+    assert np.allclose(z.T @ (label - p), np.r_[0, fit.beta[1:]], atol=1e-5)
+    assert sum(r.nearest is not None for r in rows.values()) > 0.95 * len(texts)
+    gaps = []
+    for d in texts:
+        vote, evidence, nearest = votes(d)
+        r = rows[d]
+        assert (r.nearest is None) == (nearest is None)
+        if nearest is not None:
+            assert abs(r.cosine - nearest) < 1e-8 and abs(matrix[keys.index(r.nearest)] @ dense[d] - nearest) < 1e-8
+            gaps.append(abs(r.score - fit.score([vote], [evidence])[0]))
+        else:
+            assert abs(r.score - prior) < 1e-9
+    # neighbours that tie at the K-th place are taken in another order here
+    assert np.median(gaps) < 1e-3 and max(gaps) < 0.02, sorted(gaps)[-5:]
+
+
+def test_votes_and_evidence_equal_dense_arithmetic():
+    """On vectors without ties, every example among the others."""
+    rng = np.random.default_rng(0)
+    idf = rng.uniform(0.5, 3, 300)
+    examples = []
+    for _ in range(700):
+        ids = np.sort(rng.choice(300, rng.integers(5, 40), replace=False))
+        examples.append((ids, rng.integers(1, 5, len(ids))))
+    label = rng.integers(0, 2, 700)
+    index = toxicity.BlockMaxIndex(idf, examples, label, block=64, frequent=50)
+    dense = np.zeros((700, 300))
+    for i, e in enumerate(examples):
+        at, w = index.weigh(*e)
+        dense[i, at] = w
+    for i in range(0, 700, 7):
+        vote, evidence, *_ = index.votes([examples[i]], 0.3, [i])[0]
+        cosine = np.minimum(1, np.round(dense @ dense[i], 9))
+        near = [j for j in np.argsort(-cosine, kind="stable") if cosine[j] > 0 and j != i][: toxicity.K]
+        w = 1 / (0.05 + 1 - cosine[near] / cosine[near[0]])
+        w /= w.mean()
+        y = label[near]
+        share, z = (w @ y + 0.6) / (w.sum() + 2), []
+        for t in np.flatnonzero(dense[i]):
+            has = dense[near, t] > 0
+            mass = w[has].sum()
+            spread = np.sqrt(mass * share * (1 - share) * max(0, 1 - mass / (w.sum() + 1)) + 0.5)
+            z.append(((w * y)[has].sum() - mass * share) / spread if mass > 1.5 else 0)
+        assert abs(vote - (w @ y + 0.3) / (w.sum() + 1)) < 1e-9 and abs(evidence - np.mean(sorted(z)[-6:])) < 1e-8
