@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import corpus_pipeline
 from tidelog.llm import byte_bpe, decontamination, imatch, language_id, near_dedup, secrets, sharding, toxicity, url_filter, warc
 
 LONG = "wörd alpha beta gamma " * 30_000
@@ -179,3 +180,41 @@ def test_samples_count_documents(spark):
     assert many.langs == few.langs == ["de", "en"] and many.index == few.index and (many.scores == few.scores).all()
     few, many = ({(r.doc_id, r.nearest) for r in toxicity.score_documents(d, once.select("doc_id", "toxic"), max_sample=50).collect()} for d in (once, copies))
     assert many == few and len({near for _, near in many}) > 1
+
+
+@pytest.fixture
+def own_tables(spark, docs, tmp_path):
+    """The rows of this module as tables of their own: documents with repeated rows, nulls, a very long text and clashing columns."""
+    twice = docs.unionByName(docs.where("doc_id = 5"))
+    twice.write.parquet(f"{tmp_path}/documents.parquet")
+    items = spark.createDataFrame([(1, "vier fünf sechs"), (2, None), (3, "")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    items.limit(0).write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_of_odd_rows(spark, own_tables):
+    rows = corpus_pipeline.run(spark, own_tables).collect()
+    # nulls, the empty text and the one without letters have no language; copies go; one has a benchmark item
+    assert sorted(r.doc_id for r in rows) == [1, 5, 8, 9] and {r.token for r in rows} == {"own token"}
+    assert {r.n_chars for r in rows if r.doc_id == 5} == {len(LONG)}
+    docs = spark.read.parquet(f"{own_tables}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, own_tables).columns == docs.columns, name
+    assert corpus_pipeline.run(spark, f"{own_tables}/none").count() == 0
+
+
+def test_repeated_rows_without_words_stay(spark):
+    """Whatever other rows repeat."""
+    rows = [(1, None), (1, None), (2, ""), (2, ""), (3, "a b c d e f"), (4, "one two three four five six")]
+    for more in ([], [(3, "a b c d e f")]):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string")
+        assert sorted(r.doc_id for r in near_dedup.drop_near_duplicates(docs).collect()) == [1, 1, 2, 2, 3, 4]
+
+
+def test_url_filter_of_repeated_and_long_urls(spark):
+    long = "http://a.com/" + "x/" * 50_000 + "casino"
+    pages = spark.createDataFrame([(1, "http://a.com/casino"), (1, "http://a.com/casino"), (2, long)], "page_id long, url string")
+    got = sorted((r.page_id, len(r.path), r.verdict) for r in url_filter.judge_urls(pages).collect())
+    assert got == [(1, 7, "block"), (1, 7, "block"), (2, len(long) - len("http://a.com"), "block")]
