@@ -259,3 +259,54 @@ def test_aes_and_points(spark):
     got = one(spark, back=mysql.aes_decrypt(mysql.aes_encrypt(F.lit("text"), b"a key that is longer than 16"), b"a key that is longer than 16").cast("string"), text=mysql.st_as_text(point), d=mysql.st_distance(point, F.struct(F.lit(4.0).alias("x"), F.lit(6.0).alias("y"))))
     assert got == {"back": "text", "text": "POINT(1.0 2.0)", "d": 5.0}
     assert mysql.aes_key(b"0123456789abcdef0") == bytes([0]) + b"123456789abcdef"
+
+
+def test_changelog_offsets_are_names(spark, tmp_path):
+    from tidelog.sources.changelog_source import SCHEMA, ChangeLogStreamReader
+    from pyspark.sql.types import _parse_datatype_string
+
+    for n in ("b", "d", "f"):
+        (tmp_path / f"{n}.jsonl").write_text("{}\n")
+    reader = ChangeLogStreamReader(_parse_datatype_string(SCHEMA), {"path": str(tmp_path), "maxFilesPerTrigger": "1"})
+    first = reader.latestOffset()
+    assert [p.path.rsplit("/", 1)[-1] for p in reader.partitions(reader.initialOffset(), first)] == ["b.jsonl", "d.jsonl", "f.jsonl"]
+    for n in ("a", "g", "h"):
+        (tmp_path / f"{n}.jsonl").write_text("{}\n")
+    second = reader.latestOffset()
+    third = reader.latestOffset()
+    assert [[p.path.rsplit("/", 1)[-1] for p in reader.partitions(*x)] for x in ((first, second), (second, third))] == [["g.jsonl"], ["h.jsonl"]]
+
+
+def test_character_types():
+    c = ddl.Catalogue()
+    c.apply("CREATE TABLE t (a CHARACTER(3), b CHARACTER VARYING(20), c NATIONAL CHARACTER VARYING(5), d CHAR VARYING(7), e VARCHAR(9), f DOUBLE PRECISION)", "d")
+    (table,) = c.tables.values()
+    assert [(x.name, x.type, x.length) for x in table.columns] == [("a", "char", 3), ("b", "varchar", 20), ("c", "varchar", 5), ("d", "varchar", 7), ("e", "varchar", 9), ("f", "double", None)]
+
+
+def test_predicates_are_quoted_and_bounded():
+    from tidelog.sources import jdbc
+
+    assert jdbc.table_predicate(["O'X.T'; DROP"]) == "(SEG_OWNER = 'O''X' AND TABLE_NAME = 'T''; DROP')"
+    windows = jdbc.scn_predicates(0, 10**12)
+    assert len(windows) <= jdbc.MAX_PARTITIONS and windows[0].startswith("SCN >= 0 ") and windows[-1].endswith(f"SCN < {10**12}")
+    assert jdbc.scn_predicates(5, 25, 10) == ["SCN >= 5 AND SCN < 15", "SCN >= 15 AND SCN < 25"]
+
+
+def test_a_missing_version_is_an_error(spark, tmp_path):
+    import shutil
+
+    from tidelog.streaming.assembler import materialize_batches
+
+    def batch(n, rows):
+        spark.createDataFrame(rows, "op string, k long, pos long, v string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("op string, k long, pos long, v string").parquet(f"{tmp_path}/in")
+        materialize_batches(stream, f"{tmp_path}/state", f"{tmp_path}/cp", ["k"], "pos", ["v"]).awaitTermination()
+
+    for n in range(3):
+        batch(n, [("c", n, n, f"v{n}")])
+    assert spark.read.parquet(f"{tmp_path}/state/version=2").count() == 3
+    assert not (tmp_path / "state" / "version=0").exists()
+    shutil.rmtree(tmp_path / "state" / "version=2")
+    with pytest.raises(Exception, match="the state before batch"):
+        batch(3, [("c", 9, 9, "x")])

@@ -265,11 +265,11 @@ def logfile_union_min(spark, sf_dir):
     return both.groupBy("first_change").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("files"))
 
 
-@register("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_id % 2 = 0 AND event_id < 400), b AS (SELECT DISTINCT user_id FROM events WHERE event_id % 3 = 0 AND event_id < 400)
-SELECT user_id, 'added' AS change FROM b WHERE user_id NOT IN (SELECT user_id FROM a) UNION ALL SELECT user_id, 'removed' FROM a WHERE user_id NOT IN (SELECT user_id FROM b)""")
+@register("""WITH a AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events WHERE event_type = 'click'), b AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events WHERE event_type = 'purchase')
+SELECT user_id, day, 'added' AS change FROM (FROM b EXCEPT FROM a) UNION ALL SELECT user_id, day, 'removed' FROM (FROM a EXCEPT FROM b)""")
 def whitelist_diff(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_id < 400").select("event_id", "user_id")
-    return predicates.whitelist_changes(rows.where("event_id % 2 = 0"), rows.where("event_id % 3 = 0"), ["user_id"])
+    rows = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "event_type")
+    return predicates.whitelist_changes(rows.where("event_type = 'click'"), rows.where("event_type = 'purchase'"), ["user_id", "day"])
 
 
 @register("""WITH v AS (SELECT event_id AS position, user_id, 'v' || event_id AS version FROM events WHERE event_type = 'signup'),

@@ -84,14 +84,14 @@ def frame_windows(spark, sf_dir):
     )
 
 
-@register("""WITH c AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 2 = 0), o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 3 = 0)
+@register("""WITH c AS (SELECT c_custkey, c_nationkey FROM customer), o AS (SELECT o_orderkey, o_custkey FROM orders)
 SELECT 'inner' AS kind, count(*) AS n FROM c JOIN o ON c_custkey = o_custkey UNION ALL SELECT 'left', count(*) FROM c LEFT JOIN o ON c_custkey = o_custkey
 UNION ALL SELECT 'right', count(*) FROM c RIGHT JOIN o ON c_custkey = o_custkey UNION ALL SELECT 'full', count(*) FROM c FULL JOIN o ON c_custkey = o_custkey
 UNION ALL SELECT 'semi', count(*) FROM c SEMI JOIN o ON c_custkey = o_custkey UNION ALL SELECT 'anti', count(*) FROM c ANTI JOIN o ON c_custkey = o_custkey
 UNION ALL SELECT 'cross', count(*) FROM nation CROSS JOIN region""")
 def join_kinds(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_nationkey")
-    o = table(spark, sf_dir, "orders").where("o_custkey % 3 = 0").select("o_orderkey", "o_custkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     out = table(spark, sf_dir, "nation").crossJoin(table(spark, sf_dir, "region")).agg(F.lit("cross").alias("kind"), F.count(F.lit(1)).alias("n"))
     for name, how in (("inner", "inner"), ("left", "left"), ("right", "right"), ("full", "full"), ("semi", "left_semi"), ("anti", "left_anti")):
         out = out.unionByName(c.join(o, c["c_custkey"] == o["o_custkey"], how).agg(F.lit(name).alias("kind"), F.count(F.lit(1)).alias("n")))
@@ -121,14 +121,15 @@ def subqueries(spark, sf_dir):
     return out.join(F.broadcast(mean), F.col("c_acctbal") > F.col("m")).select("c_custkey")  # one row
 
 
-@register("""SELECT 'all' AS kind, count(*) AS n FROM (SELECT user_id FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id FROM events WHERE event_id % 3 = 0)
-UNION ALL SELECT 'distinct', count(*) FROM (SELECT user_id FROM events WHERE event_id % 2 = 0 UNION SELECT user_id FROM events WHERE event_id % 3 = 0)
-UNION ALL SELECT 'intersect', count(*) FROM (SELECT user_id FROM events WHERE event_id % 50 = 0 INTERSECT SELECT user_id FROM events WHERE event_id % 75 = 0)
-UNION ALL SELECT 'except', count(*) FROM (SELECT user_id FROM events WHERE event_id % 50 = 0 EXCEPT SELECT user_id FROM events WHERE event_id % 75 = 0)""")
+@register("""WITH a AS (SELECT user_id, ts::DATE AS day FROM events WHERE event_type IN ('click', 'view')), b AS (SELECT user_id, ts::DATE AS day FROM events WHERE event_type IN ('click', 'purchase'))
+SELECT 'all' AS kind, count(*) AS n FROM (SELECT user_id, day FROM a UNION ALL SELECT user_id, day FROM b)
+UNION ALL SELECT 'distinct', count(*) FROM (SELECT user_id, day FROM a UNION SELECT user_id, day FROM b)
+UNION ALL SELECT 'intersect', count(*) FROM (SELECT user_id, day FROM a INTERSECT SELECT user_id, day FROM b)
+UNION ALL SELECT 'except', count(*) FROM (SELECT user_id, day FROM a EXCEPT SELECT user_id, day FROM b)""")
 def union_all_distinct(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id")
-    part = lambda k: rows.where(F.col("event_id") % k == 0).select("user_id")
-    sets = {"all": part(2).unionAll(part(3)), "distinct": part(2).union(part(3)).distinct(), "intersect": part(50).intersect(part(75)), "except": part(50).subtract(part(75))}
+    rows = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "event_type")
+    a, b = (rows.where(F.col("event_type").isin("click", x)).select("user_id", "day") for x in ("view", "purchase"))
+    sets = {"all": a.unionAll(b), "distinct": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.subtract(b)}
     out = [df.agg(F.lit(k).alias("kind"), F.count(F.lit(1)).alias("n")) for k, df in sets.items()]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 

@@ -2,8 +2,10 @@
 
 ``spark.dataSource.register(ChangeLogSource)`` makes ``spark.read`` and
 ``spark.readStream`` understand ``format("changelog")``. Files are read in order
-of their names; a stream's offset is the number of files it has taken, at most
-``maxFilesPerTrigger`` a batch. Lines that are no JSON objects raise an error,
+of their names; a stream's offset is the name of the last file it has taken, so a file
+that comes late under an earlier name moves no other and is not read. The first batch of a run takes all
+files there are: Spark neither tells the reader where a run stands nor asks again under
+``availableNow``. From then on at most ``maxFilesPerTrigger`` are taken a batch. Lines that are no JSON objects raise an error,
 or are skipped with ``failOnError=false``. ``startingFile`` names the first file of a new stream.
 """
 
@@ -78,18 +80,24 @@ class ChangeLogReader(DataSourceReader):
 class ChangeLogStreamReader(DataSourceStreamReader):
     def __init__(self, schema, options: dict):
         self.o = _Options(schema, options)
+
         self.reached = None
 
+    def _named(self) -> list[tuple[str, str]]:
+        """(name, path) of the files from startingFile on, in order."""
+        return [(n, f) for f in _files(self.o.uri) if (n := f.rsplit("/", 1)[-1]) >= self.o.first]
+
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"files": sum(f.rsplit("/", 1)[-1] < self.o.first for f in _files(self.o.uri))}
+        return {"after": ""}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        there = len(_files(self.o.uri))
-        self.reached = there if self.reached is None else min(there, self.reached + self.o.most)
-        return {"files": self.reached}
+        later = [n for n, _ in self._named() if self.reached is None or n > self.reached]
+        if later:
+            self.reached = later[-1] if self.reached is None else later[: self.o.most][-1]
+        return {"after": self.reached or ""}
 
     def partitions(self, start: dict, end: dict):
-        return [_File(f) for f in _files(self.o.uri)[start["files"] : end["files"]]]
+        return [_File(f) for n, f in self._named() if start["after"] < n <= end["after"]]
 
     def read(self, partition: _File):
         yield from _rows(self.o.uri, partition.path, self.o.names, self.o.strict)

@@ -7,8 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.predicates import operation_codes
 
 
+#: Partitions of a scan at most: windows grow beyond that.
+MAX_PARTITIONS = 4096
+
+
+def text_literal(value: object) -> str:
+    """A value as a text literal of SQL."""
+    return "'" + str(value).replace("'", "''") + "'"
+
+
 def scn_predicates(start: int, end: int, window: int = 10_000) -> list[str]:
-    """Half-open windows of change numbers, one for each partition."""
+    """Half-open windows of change numbers, one for each partition, at most MAX_PARTITIONS."""
+    window = max(window, -(-(end - start) // MAX_PARTITIONS))
     return [f"SCN >= {a} AND SCN < {min(a + window, end)}" for a in range(start, end, window)]
 
 
@@ -19,8 +29,8 @@ def table_predicate(tables: list[str]) -> str:
         *pdb, owner, table = name.split(".")
         if owner == "*":
             raise ValueError(f"{name}: a schema must be named")
-        own = [f"SRC_CON_NAME = '{pdb[0]}'"] if pdb else []
-        own += [f"SEG_OWNER = '{owner}'"] + ([f"TABLE_NAME = '{table}'"] if table != "*" else [])
+        own = [f"SRC_CON_NAME = {text_literal(pdb[0])}"] if pdb else []
+        own += [f"SEG_OWNER = {text_literal(owner)}"] + ([f"TABLE_NAME = {text_literal(table)}"] if table != "*" else [])
         parts.append("(" + " AND ".join(own) + ")")
     return " OR ".join(parts) or "SEG_OWNER != 'SYS'"
 
@@ -42,5 +52,5 @@ def read_table(spark: SparkSession, url: str, table: str, key: str | None = None
 
 def chunk_query(table: str, columns: list[str], key: str, after: object | None, size: int) -> str:
     """The next rows of a table in order of a key."""
-    where = "" if after is None else f" WHERE {key} > '{str(after).replace(chr(39), chr(39) * 2)}'"
+    where = "" if after is None else f" WHERE {key} > {text_literal(after)}"
     return f"SELECT {', '.join(columns) or '*'} FROM {table}{where} ORDER BY {key} LIMIT {size}"

@@ -85,7 +85,8 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
 def materialize_batches(changes: DataFrame, path: str, checkpoint: str, key: list[str], position: str, after: list[str]):
     """Keeps the latest state of a stream of changes in Parquet: each batch merges into a new version of the table.
 
-    A version is named by its batch, so a batch that runs again writes the same version.
+    A version is named by its batch, so a batch that runs again writes the same version. A batch after the first
+    needs the version before: without it a FileNotFoundError is raised. Versions before that one go.
     """
     from ..operators.materialize import merge_changes
 
@@ -95,7 +96,11 @@ def materialize_batches(changes: DataFrame, path: str, checkpoint: str, key: lis
         fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         kept = ["op", *key, position, *after]
         rows = batch.select(*kept)
-        state = spark.read.parquet(str(at)) if n and fs.exists(at) else rows.where("false").select(*key, position, *after)
+        if n and not fs.exists(at):
+            raise FileNotFoundError(f"{at}: the state before batch {n}")
+        state = spark.read.parquet(str(at)) if n else rows.where("false").select(*key, position, *after)
         merge_changes(state, rows, key, position, "op", after).write.mode("overwrite").parquet(f"{path}/version={n}")
+        # batch n may run again from n - 1; nothing reads what is older
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={n - 2}"), True)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

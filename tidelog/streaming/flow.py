@@ -44,9 +44,22 @@ def on_failure(rows: DataFrame, made: Column, name: str, failed: Column, mode: s
 
 
 def jdbc_sink(url: str, table: str, **properties: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer that appends to a table over JDBC, one commit for each partition."""
+    """A foreachBatch writer that appends to a table over JDBC, one commit for each partition.
+
+    Rows carry their batch's number; a batch that runs again first removes what its earlier run wrote.
+    """
 
     def write(batch: DataFrame, n: int) -> None:
+        manager = batch.sparkSession.sparkContext._jvm.java.sql.DriverManager
+        settings = batch.sparkSession.sparkContext._jvm.java.util.Properties()
+        for name, value in properties.items():
+            settings.setProperty(name, value)
+        connection = manager.getConnection(url, settings)
+        try:
+            if connection.getMetaData().getTables(None, None, table, None).next():
+                connection.createStatement().executeUpdate(f"DELETE FROM {table} WHERE batch = {int(n)}")
+        finally:
+            connection.close()
         batch.withColumn("batch", F.lit(n)).write.jdbc(url, table, mode="append", properties=properties)
 
     return write
