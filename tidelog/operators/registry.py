@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -61,3 +61,24 @@ def schema_of(definition: str) -> dict[str, str]:
         return plain.get(c.jdbc, "string")
 
     return {c.name: kind(c) for c in Table.from_json(definition).columns}
+
+
+def outcomes(rows: DataFrame, sql: str, db: str, table: str) -> DataFrame:
+    """The rows with what a table is after each one's script: columns as ``name:type`` (``*``: it has a default), and its key.
+
+    A script begins with an empty catalogue and is read once, however many rows have it.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for script in pdf["sql"]:
+                catalogue = Catalogue()
+                catalogue.apply(script, db)
+                made = catalogue.tables.get((db, table))
+                columns = " ".join(f"{c.name}:{c.type}{'*' * (c.default is not None)}" for c in made.columns) if made else None
+                out.append((script, columns, ",".join(made.key) if made else None))
+            yield pd.DataFrame(out, columns=["sql", "columns", "key"])
+
+    read = rows.select(F.col(sql).alias("sql")).where("sql is not null").distinct().mapInPandas(run, "sql string, columns string, key string")
+    return rows.join(read.withColumnRenamed("sql", sql), sql, "left")
