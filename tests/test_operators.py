@@ -310,3 +310,17 @@ def test_a_missing_version_is_an_error(spark, tmp_path):
     shutil.rmtree(tmp_path / "state" / "version=2")
     with pytest.raises(Exception, match="the state before batch"):
         batch(3, [("c", 9, 9, "x")])
+
+
+@pytest.mark.parametrize("chunk", [3, 1 << 18])
+def test_chunks_equal_windows(spark, chunk):
+    from pyspark.sql import Window
+    from tidelog.operators import chunks
+
+    rows = spark.createDataFrame([(None if i % 5 == 0 else "hot" if i % 3 else "k", i * i % 101, i % 4 if i % 7 else None) for i in range(101) if i * i % 101 == i * i % 101][:51], "k string, p long, v long").dropDuplicates(["k", "p"])
+    line = Window.partitionBy("k").orderBy("p")
+    expected = {(r.k, r.p): (r.a, r.b) for r in rows.select("k", "p", F.lag("v").over(line).alias("a"), F.coalesce(F.sum("v").over(line.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("b")).collect()}
+    one = chunks.previous(rows, ["k"], "p", F.col("v"), "a", chunk).collect()
+    two = chunks.running_sum(rows, ["k"], "p", F.col("v"), "b", chunk).collect()
+    assert {(r.k, r.p): r.a for r in one} == {x: y[0] for x, y in expected.items()}
+    assert {(r.k, r.p): r.b for r in two} == {x: y[1] for x, y in expected.items()}

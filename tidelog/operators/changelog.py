@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import previous
+
 CREATE, UPDATE, DELETE, READ, TOMBSTONE, TRUNCATE = "c", "u", "d", "r", "t", "x"
 
 
@@ -18,13 +20,14 @@ def from_events(events: DataFrame) -> DataFrame:
     """The change log of one table ``user_state``, derived from events: one row of state for each user.
 
     An ``error`` event deletes the row (and does nothing where there is none); any
-    other one creates or updates it. One window over (user, position) gives all images.
+    other one creates or updates it. Each row's predecessor gives all images; a hot user's rows are chained chunk by chunk.
     """
-    by_key = Window.partitionBy("user_id").orderBy("event_id")
-    existed = F.coalesce(F.lag("event_type").over(by_key) != "error", F.lit(False))
+    rows = events.select("event_id", "user_id", "event_type", "value", "ts")
+    rows = previous(rows, ["user_id"], "event_id", F.struct("event_type", "value"), "before")
+    existed = F.coalesce(F.col("before.event_type") != "error", F.lit(False))
     gone = F.col("event_type") == "error"
     op = F.when(gone & existed, DELETE).when(gone, None).when(existed, UPDATE).otherwise(CREATE)
-    out = events.select("event_id", "user_id", "event_type", "value", "ts", op.alias("op"), F.lag("value").over(by_key).alias("previous"))
+    out = rows.select("event_id", "user_id", "event_type", "value", "ts", op.alias("op"), F.col("before.value").alias("previous"))
     return out.select(
         F.col("event_id").alias("position"),
         F.expr("event_id div 10").alias("xid"),

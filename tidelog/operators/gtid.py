@@ -6,9 +6,11 @@ algebra stays in expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import previous, running_sum
+
 KIND = "map<string, array<struct<lo:bigint,hi:bigint>>>"
 _INTERVALS = "array<struct<lo:bigint,hi:bigint>>"
 
@@ -116,6 +118,7 @@ def subtract(a: Column, b: Column) -> Column:
 
 def intervals_of_points(rows: DataFrame, server: str, n: str) -> DataFrame:
     """(server, lo, hi): runs of consecutive transaction numbers; repeated numbers count once."""
-    line = Window.partitionBy(server).orderBy(n)
-    runs = rows.select(server, n).distinct().withColumn("_run", F.col(n) - F.row_number().over(line))
+    points = previous(rows.select(server, n).distinct(), [server], n, F.col(n), "_before")
+    begins = F.when(F.col("_before") + 1 == F.col(n), 0).otherwise(1)
+    runs = running_sum(points, [server], n, begins, "_run")
     return runs.groupBy(server, "_run").agg(F.min(n).alias("lo"), F.max(n).alias("hi")).drop("_run")

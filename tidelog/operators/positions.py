@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import gtid
+from .chunks import running_sum
 
 
 def ordering(file: Column, pos: Column, event: Column, row: Column) -> Column:
@@ -44,9 +45,8 @@ def restart_offsets(log: DataFrame, stream: Sequence[str], order: str, kind: str
 
 
 def rotation_epochs(log: DataFrame, stream: Sequence[str], order: str, kind: str) -> DataFrame:
-    """Rows with ``epoch``: how many ROTATE events went before; table numbers hold within an epoch."""
-    line = Window.partitionBy(*stream).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn("epoch", F.sum((F.col(kind) == "ROTATE").cast("int")).over(line))
+    """Rows with ``epoch``: how many ROTATE events there were up to each; table numbers hold within an epoch. order is a number."""
+    return running_sum(log, stream, order, (F.col(kind) == "ROTATE").cast("long"), "epoch")
 
 
 def row_offsets(rows: DataFrame, event: Sequence[str], order: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import previous
+
 COMMIT, ROLLBACK = 7, 36
 # Operation codes of the redo log and their names.
 OPERATIONS = {
@@ -95,7 +97,6 @@ def run_groups(rows: DataFrame, order: str, value: str, partition: Sequence[str]
 
 
 def drop_repeats(rows: DataFrame, partition: Sequence[str], order: str, value: str) -> DataFrame:
-    """Rows whose value differs from the one before."""
-    line = Window.partitionBy(*partition).orderBy(order)
-    before = rows.withColumn("_p", F.lag(value).over(line)).withColumn("_n", F.row_number().over(line))
-    return before.where((F.col("_n") == 1) | ~F.col(value).eqNullSafe(F.col("_p"))).drop("_p", "_n")
+    """Rows whose value differs from the one before; order is a number."""
+    before = previous(rows, partition, order, F.struct(F.col(value).alias("v")), "_p")
+    return before.where(F.col("_p").isNull() | ~F.col(value).eqNullSafe(F.col("_p.v"))).drop("_p")
