@@ -324,3 +324,61 @@ def test_chunks_equal_windows(spark, chunk):
     two = chunks.running_sum(rows, ["k"], "p", F.col("v"), "b", chunk).collect()
     assert {(r.k, r.p): r.a for r in one} == {x: y[0] for x, y in expected.items()}
     assert {(r.k, r.p): r.b for r in two} == {x: y[1] for x, y in expected.items()}
+
+
+def test_binlog_values():
+    from tidelog.functions import binlog as b
+
+    def value(raw, kind, meta=b""):
+        cursor = b._Bytes(raw)
+        got = b._value(cursor, kind, meta)
+        assert cursor.at == len(raw)
+        return got
+
+    assert value(b"\xff\xff\xff", b.INT24) == -1 and value(b"\xfe", b.TINY) == -2
+    assert value(bytes.fromhex("810dfb38d204d2"), b.NEWDECIMAL, bytes((14, 4))) == "1234567890.1234"
+    assert value(bytes.fromhex("7ef204c72dfb2d"), b.NEWDECIMAL, bytes((14, 4))) == "-1234567890.1234"
+    assert value((2024 << 9 | 2 << 5 | 30).to_bytes(3, "little"), b.DATE) == "2024-02-30" and value(b"\x7c", b.YEAR) == 2024 and value(b"\0", b.YEAR) == 0
+    assert value((0x800000 | 12 << 12 | 34 << 6 | 56).to_bytes(3, "big"), b.TIME2, b"\0") == "12:34:56"
+    assert value(((0x800000 << 16) - ((1 << 12 | 1 << 6 | 1) << 16 | 5000)).to_bytes(5, "big"), b.TIME2, b"\4") == "-01:01:01.5000"
+    assert value(b"\5\0hello", b.VARCHAR, (300).to_bytes(2, "little")) == "hello" and value(b"\3abc", b.STRING, bytes((254, 10))) == "abc"
+    assert value(b"\2", b.STRING, bytes((b.ENUM, 1))) == 2 and value(b"\2\0\xab\xcd", b.BLOB, b"\2") == "ABCD" and value(b"\1\3", b.BIT, bytes((1, 1))) == 259
+    assert value((20240131123456).to_bytes(8, "little"), b.DATETIME) == "2024-01-31 12:34:56"
+    with pytest.raises(ValueError, match="ends within a value"):
+        value(b"\1", b.LONG)
+
+
+def test_binlog_source_stream_and_broken_files(spark, tmp_path):
+    import datetime
+
+    import pandas as pd
+    from tidelog.plans.logs import log_file
+    from tidelog.sources.binlog_source import BinlogSource
+    from tidelog.streaming.assembler import run_available
+
+    spark.dataSource.register(BinlogSource)
+    rows = pd.DataFrame({"event_id": range(20), "user_id": 1, "event_type": "x", "value": 1.5, "ts": pd.Timestamp(datetime.datetime(2024, 1, 1)), "cents": -15, "kind": 1})
+    raw = log_file(rows)
+    for n in (1, 2, 3):
+        (tmp_path / f"bin.{n:06d}").write_bytes(raw if n < 3 else raw[:-10])
+    (tmp_path / "bin.index").write_text("bin.000001\n")
+    everything = spark.read.format("binlog").load(str(tmp_path))
+    assert everything.where("op = 'c'").count() == 60 and everything.where("op = 'k'").count() == 5
+    assert everything.where("op = 'c'").first().after == '[0, 1, "x", 1.5, "2024-01-01 00:00:00.000000", "-0.0015", 1]'
+    assert spark.read.format("binlog").option("db", "other").load(str(tmp_path)).where("op = 'c'").count() == 0
+    stream = spark.readStream.format("binlog").load(str(tmp_path))
+    run_available(stream.where("op = 'c'").select("file", "row"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 40
+    (tmp_path / "bin.000004").write_bytes(b"nothing")
+    with pytest.raises(Exception, match="no binary log"):
+        spark.read.format("binlog").load(str(tmp_path)).collect()
+
+
+def test_redo_session_block():
+    from tidelog.sources.jdbc import session_block
+
+    block = session_block(["/a/redo1", "/a/o'x"], 5, 9, "CDB$ROOT")
+    assert "DBMS_LOGMNR.ADD_LOGFILE('/a/redo1', DBMS_LOGMNR.NEW);" in block and "ADD_LOGFILE('/a/o''x', DBMS_LOGMNR.ADDFILE);" in block
+    assert 'SET CONTAINER = "CDB$ROOT"' in block and "STARTSCN => 5, ENDSCN => 9" in block and block.startswith("BEGIN ") and block.endswith("END;")
+    with pytest.raises(ValueError):
+        session_block([], 5, 9)

@@ -1,3 +1,3 @@
 """Queries by area; importing the package registers them."""
 
-from . import catalogue, changes, conversions, streams, surface, wider  # noqa: F401
+from . import catalogue, changes, conversions, logs, streams, surface, wider  # noqa: F401

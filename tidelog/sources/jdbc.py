@@ -35,8 +35,36 @@ def table_predicate(tables: list[str]) -> str:
     return " OR ".join(parts) or "SEG_OWNER != 'SYS'"
 
 
+#: Formats that a session of redo rows is read under, so that literals in redo text parse.
+SESSION_FORMATS = {
+    "NLS_DATE_FORMAT": "YYYY-MM-DD HH24:MI:SS", "NLS_TIMESTAMP_FORMAT": "YYYY-MM-DD HH24:MI:SS.FF9",
+    "NLS_TIMESTAMP_TZ_FORMAT": "YYYY-MM-DD HH24:MI:SS.FF9 TZH:TZM", "NLS_NUMERIC_CHARACTERS": ".,",
+}
+
+
+def session_block(files: list[str], start: int, end: int, container: str | None = None, options: list[str] | None = None) -> str:
+    """A block that makes a session read redo rows: formats, the root container, the log files of a window, and the start.
+
+    files come from ``positions.log_files``: those that cover [start, end). Spark runs
+    the block on each connection before it reads (``sessionInitStatement``).
+    """
+    if not files:
+        raise ValueError("no log files cover the window")
+    chosen = options or ["SKIP_CORRUPTION", "NO_SQL_DELIMITER", "NO_ROWID_IN_STMT", "DICT_FROM_ONLINE_CATALOG"]
+    run = [f"ALTER SESSION SET {k} = {text_literal(v)}" for k, v in SESSION_FORMATS.items()]
+    if container:
+        run.append(f'ALTER SESSION SET CONTAINER = "{container}"')
+    lines = [f"EXECUTE IMMEDIATE {text_literal(x)};" for x in run]
+    lines += [f"DBMS_LOGMNR.ADD_LOGFILE({text_literal(f)}, DBMS_LOGMNR.{'ADDFILE' if i else 'NEW'});" for i, f in enumerate(files)]
+    flags = " + ".join(f"DBMS_LOGMNR.{o}" for o in chosen)
+    return "BEGIN " + " ".join(lines) + f" DBMS_LOGMNR.START_LOGMNR(STARTSCN => {int(start)}, ENDSCN => {int(end)}, OPTIONS => {flags}); END;"
+
+
 def read_redo(spark: SparkSession, url: str, start: int, end: int, tables: list[str], operations: str = "INSERT,UPDATE,DELETE", window: int = 10_000, **properties: str) -> DataFrame:
-    """Redo rows of tables between change numbers, with commits and rollbacks."""
+    """Redo rows of tables between change numbers, with commits and rollbacks.
+
+    Pass ``sessionInitStatement=session_block(...)`` where the session does not have its log files yet.
+    """
     codes = ", ".join(map(str, operation_codes(operations)))
     rows = f"(OPERATION_CODE IN ({codes}) AND ({table_predicate(tables)})) OR OPERATION_CODE IN (7, 36)"
     return spark.read.jdbc(url, "V$LOGMNR_CONTENTS", predicates=[f"{p} AND ({rows})" for p in scn_predicates(start, end, window)], properties=properties)
