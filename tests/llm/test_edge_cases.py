@@ -218,3 +218,23 @@ def test_url_filter_of_repeated_and_long_urls(spark):
     pages = spark.createDataFrame([(1, "http://a.com/casino"), (1, "http://a.com/casino"), (2, long)], "page_id long, url string")
     got = sorted((r.page_id, len(r.path), r.verdict) for r in url_filter.judge_urls(pages).collect())
     assert got == [(1, 7, "block"), (1, 7, "block"), (2, len(long) - len("http://a.com"), "block")]
+
+
+def test_url_filter_decodes_and_loads(spark, tmp_path):
+    import duckdb
+
+    from tidelog.llm import url_filter
+
+    urls = ["http://a.com/%63asino", "http://a.com/%2563asino", "http://a.com/%zz/casino", "http://a.com/%FF/casino", "http://a.com/x%2Fcasino%2Fy", "http://%63asino.com/", "http://a.com/%C3%A9casino", "http://a.com/casino%C3%A9", "%", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    expected = {r[0]: r[1:] for r in con.execute(f"SELECT page_id, host, path, rule, verdict, terms, weight FROM ({url_filter.oracle()})").fetchall()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.terms, r.weight) for r in url_filter.op6_url_vocabulary(spark, str(tmp_path)).collect()}
+    assert got == expected and [got[i][3] for i in range(6)] == ["block", "allow", "block", "block", "block", "block"]
+    terms = spark.createDataFrame([("Bad", None), ("meh", 1.0), ("MEH", 0.5), ("so", 1.0), ("so", None), (None, 1.0), (" ", 1.0)], "term string, weight double")
+    strict, soft = url_filter.read_vocabulary(terms)
+    assert (strict, soft) == (["bad", "so"], {"meh": 1.0})
+    out = url_filter.judge_urls(pages.limit(1), strict=["a"], soft={})
+    assert out.first().verdict == "block"

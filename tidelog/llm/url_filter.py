@@ -2,12 +2,15 @@
 
 The vocabulary's terms are strict or soft. A term counts where it stands between
 boundaries (the ends of the URL or a character that is neither an ASCII letter
-nor a digit), in either case of A-Z. A URL is rejected when the weights of its
+nor a digit), in either case of A-Z, in the URL with its percent escapes decoded once (as it
+stands where they are no UTF-8); rules and the host and path returned are of the URL as it stands. The lists
+here are a small default; ``read_vocabulary`` loads others from a table. A URL is rejected when the weights of its
 *distinct* terms reach the threshold: a strict term weighs the threshold, so one
 is enough; soft terms weigh less, so several are needed.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path and
-fits no rule; a null URL has no terms and is allowed; repeated rows are judged
+fits no rule; a null URL has no terms and is allowed; very long URLs are read whole; rules of equal
+length tie by their text, the later one first; repeated rows are judged
 each by itself; an empty table gives an empty result; further columns of the
 input are ignored, whatever their names.
 """
@@ -15,6 +18,7 @@ input are ignored, whatever their names.
 from __future__ import annotations
 
 import re
+import urllib.parse
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import ahocorasick
@@ -58,6 +62,32 @@ def matching_rule(host: str, path: str, rules: Sequence[tuple[str, str, str]]) -
     return max(fit, key=lambda x: (len(x[0]), x[0]), default=None)
 
 
+def decoded(url: str) -> str:
+    """The URL with its percent escapes decoded once; as it stands where that gives no UTF-8."""
+    if "%" not in url:
+        return url
+    try:
+        return urllib.parse.unquote_to_bytes(url).decode()
+    except UnicodeDecodeError:
+        return url
+
+
+#: Terms of a vocabulary at most: each Python worker holds its automaton.
+MAX_VOCABULARY = 1_000_000
+
+
+def read_vocabulary(terms: DataFrame, term: str = "term", weight: str = "weight") -> tuple[list[str], dict[str, float]]:
+    """Strict terms (a null weight) and soft ones with their weights, of a table; of a repeated term the strict or heavier one counts.
+
+    Null and empty terms are left out. More than MAX_VOCABULARY terms raise a ValueError.
+    """
+    rows = terms.select(F.translate(F.trim(F.col(term)), ASCII_UPPER, ASCII_LOWER).alias("t"), F.col(weight).cast("double").alias("w")).where("t <> ''")
+    rows = rows.groupBy("t").agg(F.max(F.coalesce("w", F.lit(float("inf")))).alias("w")).limit(MAX_VOCABULARY + 1).collect()
+    if len(rows) > MAX_VOCABULARY:
+        raise ValueError(f"more than {MAX_VOCABULARY} terms")
+    return sorted(r["t"] for r in rows if r["w"] == float("inf")), {r["t"]: r["w"] for r in rows if r["w"] != float("inf")}
+
+
 class Vocabulary:
     """Terms with weights in one automaton."""
 
@@ -74,7 +104,7 @@ class Vocabulary:
         """Distinct terms of a URL that stand between boundaries, sorted."""
         if not url or not self.weights:
             return []
-        low = url.translate(_LOWER)
+        low = decoded(url).translate(_LOWER)
         found = set()
         for end, term in self.automaton.iter(low):
             start = end + 1 - len(term)
@@ -144,7 +174,7 @@ fits AS (
   FROM parts JOIN rules ON (host = rhost OR suffix(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY rid),
 found AS (
   SELECT rid, string_agg(term, ',' ORDER BY term) AS terms, sum(weight) AS weight
-  FROM parts JOIN vocabulary ON regexp_matches(translate(url, '{ASCII_UPPER}', '{ASCII_LOWER}'), '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') GROUP BY rid)
+  FROM parts JOIN vocabulary ON regexp_matches(translate(coalesce(TRY(url_decode(url)), url), '{ASCII_UPPER}', '{ASCII_LOWER}'), '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') GROUP BY rid)
 SELECT page_id, host, path, fits.rule, coalesce(fits.verdict, CASE WHEN coalesce(weight, 0) >= {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict,
   coalesce(terms, '') AS terms, coalesce(weight, 0)::DOUBLE AS weight
 FROM parts LEFT JOIN fits USING (rid) LEFT JOIN found USING (rid)
