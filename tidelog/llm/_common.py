@@ -1,41 +1,15 @@
-"""Shared folder, scratch tables and Arrow helpers of the subpackage."""
+"""Scratch tables, broadcasts and Arrow helpers of the subpackage."""
 
 from __future__ import annotations
 
-import getpass
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset, a local master uses the machine's temporary folder and
-    a cluster uses a folder in its warehouse.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        own = os.path.join(tempfile.gettempdir(), f"tidelog-{getpass.getuser()}")
-        return f"file://{own}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tidelog_scratch"
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; it is deleted when the application ends."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+from ..session import scratch_path
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
