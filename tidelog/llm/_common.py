@@ -51,7 +51,7 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int | None
 
 
 #: Rows of an Arrow batch: documents are long, and a batch lies in the JVM and in Python at once.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -81,6 +81,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 <<
         while at < rows:
             yield batch.slice(at, step)
             at += step
+        # what batches before have freed goes back, so that a worker does not keep its largest ones
+        pa.default_memory_pool().release_unused()
 
 
 def word_array(text: str, pattern: str) -> F.Column:

@@ -47,7 +47,7 @@ from ._common import slices, small_batches
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces that a worker remembers, and the longest it does.
-CACHE = 250_000
+CACHE = 150_000
 CACHED_CHARS = 64
 
 

@@ -65,7 +65,7 @@ SCRIPTS = [
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Words whose scores a worker remembers.
-KNOWN_WORDS = 250_000
+KNOWN_WORDS = 150_000
 
 
 def script_of(letter: str) -> str:
