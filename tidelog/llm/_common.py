@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -65,6 +66,19 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+try:
+    _LIBC = ctypes.CDLL(None)
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
+
+def _trim() -> None:
+    """Gives a task's freed memory back, since workers live on through stages that need none."""
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
@@ -83,6 +97,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 <<
             at += step
         # what batches before have freed goes back, so that a worker does not keep its largest ones
         pa.default_memory_pool().release_unused()
+    _trim()
 
 
 def word_array(text: str, pattern: str) -> F.Column:

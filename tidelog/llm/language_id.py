@@ -66,6 +66,8 @@ SCRIPTS = [
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Words whose scores a worker remembers.
 KNOWN_WORDS = 150_000
+#: Words whose n-grams are looked up at once.
+SCORED_AT_ONCE = 10_000
 
 
 def script_of(letter: str) -> str:
@@ -182,27 +184,37 @@ class Model:
         return np.where(np.isneginf(out), out, np.maximum(out, floor[:, None].astype(np.float32)))
 
 
-class Scorer:
-    """A model with the scores of words seen before."""
+class Scorer(dict):
+    """A model with the numbers of words seen before, their scores and lengths."""
 
     def __init__(self, model: Model):
+        super().__init__()
         self.model = model
-        self.known: dict[str, int] = {}
+        self.new: list[str] = []
         self.rows = np.zeros((0, len(model.langs)), np.float32)
+        self.letters = np.zeros(0, np.float64)
 
-    def of(self, words: list[str]) -> np.ndarray:
-        """Rows of scores, one for each word."""
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > KNOWN_WORDS and known:
-                known.clear()
-                self.rows = self.rows[:0]
-                new = list(set(words))
-            base = len(self.rows)
-            self.rows = np.concatenate([self.rows, self.model.word_scores(new)])
-            known.update(zip(new, range(base, base + len(new)), strict=True))
-        return self.rows[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        number = self[word] = len(self)
+        return number
+
+    def forget(self) -> None:
+        """Drops all words once they are many; numbers given before hold no longer."""
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+            self.new, self.rows, self.letters = [], self.rows[:0], self.letters[:0]
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and lengths of words by number."""
+        made = [self.model.word_scores(self.new[i : i + SCORED_AT_ONCE]) for i in range(0, len(self.new), SCORED_AT_ONCE)]
+        self.rows = np.concatenate([self.rows, *made])
+        self.letters = np.concatenate([self.letters, np.fromiter(map(len, self.new), np.float64, len(self.new))])
+        self.new = []
+        return self.rows[numbers], self.letters[numbers]
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
@@ -239,16 +251,18 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
 
 def _predicted(texts: list[str | None], scorer: Scorer, with_spans: bool) -> tuple[list[str], list[float], list[int], list[list]]:
     langs = scorer.model.langs
-    listed = [words_of(x.lower()) if x else [] for x in texts] if langs else [[] for _ in texts]
+    scorer.forget()
+    # words as numbers: a slice's words are not held as strings
+    listed = [scorer.numbers(words_of(x.lower())) if x else np.empty(0, np.int32) for x in texts] if langs else [np.empty(0, np.int32) for _ in texts]
     lengths = np.array([len(x) for x in listed], np.int64)
-    words = [w for x in listed for w in x]
+    words = np.concatenate(listed) if listed else np.empty(0, np.int32)
+    del listed
     pred, share, n_spans = [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts)
     all_spans: list[list] = [[] for _ in texts]
-    if not words:
+    if not len(words):
         return pred, share, n_spans, all_spans
-    scores = scorer.of(words)
+    scores, letters = scorer.of(words)
     labels = viterbi(scores, lengths, SWITCH)
-    letters = np.fromiter(map(len, words), np.float64, len(words))
     ends = np.cumsum(lengths)
     for i in np.flatnonzero(lengths):
         a, z = ends[i] - lengths[i], ends[i]
@@ -297,7 +311,7 @@ def _with_predictions(docs: DataFrame, model: Model, text: str, with_spans: bool
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
     # cells of words and languages in a step stay bounded
-    step = max(1 << 19, (5 << 20) * 4 // max(4, len(model.langs)))
+    step = max(1 << 19, (3 << 20) * 4 // max(4, len(model.langs)))
     inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema.fields)
     schema += ", _pred string, _score double, _n_spans long, _spans array<struct<lang:string,start:int,end:int>>"

@@ -56,7 +56,7 @@ SALTS = 16
 #: A key with more than a HOT-th of the rows is hot: there are fewer than HOT.
 HOT = 500
 #: Words whose hashes a worker remembers.
-KNOWN_WORDS = 250_000
+KNOWN_WORDS = 120_000
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15)
 _S33 = np.uint64(33)
