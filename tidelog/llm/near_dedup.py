@@ -18,7 +18,7 @@ sought:
    the members outside its largest component are compared with all its members in
    blocks; a block task compares through an inverted list of prefixes (of the shingles,
    the rarest in the block first, as many as two linked sets must share one of), with a bound on lengths, and returns
-   links, at most one for each two components, never pairs.
+   links that join components not joined in the cell before: fewer than its members, never pairs.
 
 So no pair that shares a bucket and would join two components goes unverified,
 buckets of any size are split over tasks, and no group's pairs are emitted. Keys that
@@ -180,7 +180,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def _block_links(num: int, den: int):
-    """Links within one cell: sought members against held ones, at most one for each two components."""
+    """Links within one cell: sought members against held ones, each of which joins two components that none before joins."""
 
     def run(table: pa.Table) -> pa.Table:
         cid, label, n = (table.column(c).to_numpy() for c in ("cid", "label", "n"))
@@ -188,7 +188,14 @@ def _block_links(num: int, den: int):
         held = np.flatnonzero(~table.column("sought").to_numpy(zero_copy_only=False))
         items = table.column("items").combine_chunks()
         flat, ends = items.flatten().to_numpy(), items.offsets.to_numpy() - items.offsets[0].as_py()
-        links: dict[tuple[int, int], tuple[int, int]] = {}
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        got: list[tuple[int, int]] = []
         if len(sought) and len(held):
             # shingles by how many sets of the cell have them, rarest first, ties by value
             values, inverse, seen = np.unique(flat, return_inverse=True, return_counts=True)
@@ -211,13 +218,13 @@ def _block_links(num: int, den: int):
                 i = sought[near]
                 open_ = (label[i] != label[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
                 for i in i[open_]:
-                    pair = (min(label[i], label[j]), max(label[i], label[j]))
-                    if pair in links:
+                    x, y = root(int(label[i])), root(int(label[j]))
+                    if x == y:
                         continue
                     both = len(np.intersect1d(ranked[i], ranked[j], assume_unique=True))
                     if both * den >= (n[i] + n[j] - both) * num:
-                        links[pair] = (cid[i], cid[j])
-        got = sorted(links)
+                        parent[max(x, y)] = min(x, y)
+                        got.append((min(x, y), max(x, y)))
         return pa.table({"a": pa.array([p[0] for p in got], pa.int64()), "b": pa.array([p[1] for p in got], pa.int64())})
 
     return run
