@@ -138,7 +138,9 @@ class ByteBPE:
             piece = m[0]
             got = places.get(piece)
             if got is None:
-                got = self._place(piece, known[piece] if piece in known else self.encode(piece))
+                # the piece as it is: by itself the pattern might cut it anew
+                ids = known.get(piece) or np.array(self.model.encode(self.spell(piece.encode()), add_special_tokens=False).ids, "<u4").tobytes()
+                got = self._place(piece, ids)
                 if len(piece) <= CACHED_CHARS:
                     places[piece] = got
             found.append(got)
