@@ -688,8 +688,11 @@ def test_votes_and_evidence_equal_dense_arithmetic():
         assert abs(vote - (w @ y + 0.3) / (w.sum() + 1)) < 1e-9 and abs(evidence - np.mean(sorted(z)[-6:])) < 1e-8
 
 
-def test_byte_bpe_offsets_from_remembered_pieces(monkeypatch, bpe):
-    """Equal to the library's offsets piece by piece, also where pieces are long or forgotten."""
+def test_byte_bpe_offsets_of_whole_texts(monkeypatch, bpe):
+    """Equal to the library's offsets piece by piece, also where pieces are long or forgotten, or the pattern leaves text out."""
+    words = byte_bpe.ByteBPE(byte_bpe._published()[0], "[a-z]+")
+    ids = np.frombuffer(words.encode("ab - cdé f"), "<u4")
+    assert list(zip(*(x.tolist() for x in words.offsets("ab - cdé f", ids)), strict=True)) == words.encode_with_offsets("ab - cdé f")[1]
     rng = random.Random(6)
     alphabet = "aaab  !!--##..==\n\n\t\r01'sé中한🙂👍🏽‍\x00"
     for cache in (byte_bpe.CACHE, 3):
@@ -697,7 +700,7 @@ def test_byte_bpe_offsets_from_remembered_pieces(monkeypatch, bpe):
         for _ in range(800):
             s = "".join(rng.choice(alphabet) * rng.choice((1, 2, 5, 90)) for _ in range(rng.randint(0, 8)))
             ids = np.frombuffer(bpe.encode(s), "<u4")
-            starts, ends = bpe.offsets(s)
+            starts, ends = bpe.offsets(s, ids)
             expected = bpe.encode_with_offsets(s)
             assert ids.tolist() == expected[0] and list(zip(starts.tolist(), ends.tolist(), strict=True)) == expected[1]
             assert bpe.split_tokens(ids) == sum(b[0] & 0xC0 == 0x80 for b in (bpe.tokens[i] for i in ids.tolist()))

@@ -73,6 +73,7 @@ class ByteBPE:
             self.tokens[rank] = token
         spelled = {token: self.spell(token) for token in ranks}
         self.spelled = [None if t is None else spelled[t] for t in self.tokens]
+        self.sizes = np.array([0 if t is None else len(t) for t in self.tokens], np.int64)
         self.continues = np.array([t is not None and t[0] & 0xC0 == 0x80 for t in self.tokens], bool)
         merges = []
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
@@ -84,7 +85,6 @@ class ByteBPE:
         vocab = {s: ranks[token] for token, s in spelled.items()}
         self.model = Tokenizer(BPE(vocab=vocab, merges=merges, ignore_merges=True, cache_capacity=0))
         self.known: dict[str, bytes] = {}
-        self.places: dict[str, tuple[bytes, bytes, int]] = {}
 
     def spell(self, raw: bytes) -> str:
         """Bytes as characters, one for each byte."""
@@ -119,37 +119,21 @@ class ByteBPE:
             offsets += [(int(char[a]), int(char[b - 1]) + 1) for a, b in got.offsets]
         return ids, offsets
 
-    def _place(self, piece: str, ids: bytes) -> tuple[bytes, bytes, int]:
-        """Where a piece's tokens begin and end in it, in code points, as 32-bit integers; and its length."""
-        raw = piece.encode()
-        ends = np.cumsum([len(self.tokens[i]) for i in np.frombuffer(ids, "<u4")])
-        starts = np.r_[0, ends[:-1]].astype(np.int64)
-        char = np.cumsum(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80) - 1
-        return char[starts].astype("<u4").tobytes(), (char[ends - 1] + 1).astype("<u4").tobytes(), len(piece)
-
-    def offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Where each token of an encoded text begins and ends, in code points."""
-        known, places = self.known, self.places
-        if len(places) > CACHE:
-            places.clear()
-        found = []
-        at = []
-        for m in self.pattern.finditer(text):
-            piece = m[0]
-            got = places.get(piece)
-            if got is None:
-                # the piece as it is: by itself the pattern might cut it anew
-                ids = known.get(piece) or np.array(self.model.encode(self.spell(piece.encode()), add_special_tokens=False).ids, "<u4").tobytes()
-                got = self._place(piece, ids)
-                if len(piece) <= CACHED_CHARS:
-                    places[piece] = got
-            found.append(got)
-            at.append(m.start())
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        starts, ends = (np.frombuffer(b"".join([x[i] for x in found]), "<u4").astype(np.int64) for i in (0, 1))
-        base = np.repeat(at, [len(x[0]) // 4 for x in found])
-        return starts + base, ends + base
+    def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each token of an encoded text begins and ends, in code points.
+
+        Tokens lie end to end in the text's bytes where the pattern leaves none out; else pieces are looked at one by one.
+        """
+        raw = np.frombuffer(text.encode(), np.uint8)
+        ends = np.cumsum(self.sizes[ids])
+        if len(raw) != (ends[-1] if len(ends) else 0):
+            pairs = np.array(self.encode_with_offsets(text)[1], np.int64).reshape(-1, 2)
+            return pairs[:, 0], pairs[:, 1]
+        starts = ends - self.sizes[ids]
+        if len(raw) == len(text):
+            return starts, ends
+        char = np.cumsum(raw & 0xC0 != 0x80) - 1
+        return char[starts], char[ends - 1] + 1
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         """The bytes of a sequence of ids: their tokens' characters, each mapped back to its byte."""
@@ -209,7 +193,7 @@ def with_tokens(
                 if with_ids:
                     all_ids.append(ids.astype(np.int32))
                 if with_offsets:
-                    places.append([x.astype("<i4") for x in bpe.offsets(body or "")])
+                    places.append([x.astype("<i4") for x in bpe.offsets(body or "", ids)])
                     split.append(bpe.split_tokens(ids))
             columns = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             if with_ids:
