@@ -232,6 +232,18 @@ def test_connected_components(spark):
     assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_components_in_few_steps(spark, monkeypatch):
+    """Edges that one task's forest holds need no steps between tasks, of which each costs the driver plans; others take them."""
+    tags = []
+    monkeypatch.setattr(near_dedup, "written", lambda df, tag, write=near_dedup.written: (tags.append(tag), write(df, tag))[1])
+    path = spark.createDataFrame([(i, i + 1) for i in range(0, 90, 2)] + [(i, i + 1) for i in range(1, 90, 2)], "a long, b long").repartition(4)
+    assert {tuple(r) for r in near_dedup.connected_components(path).collect()} == {(i, 0) for i in range(91)}
+    assert tags == ["edges"]
+    assert {tuple(r) for r in near_dedup.connected_components(path, most=7).collect()} == {(i, 0) for i in range(91)}
+    assert "stars" in tags
+    assert near_dedup.connected_components(path.limit(0)).count() == 0
+
+
 def test_warc(spark, duck):
     pages = dict(duck.execute("SELECT page_id, html FROM pages").fetchall())
     rows = rows_of(spark, "op5_warc")

@@ -39,10 +39,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, broadcast_if_small, slices, small_batches, written
+from ._common import as_bytes, broadcast_if_small, give_back, slices, small_batches, written
 
 ROWS = 3
 SEED = 20240229
@@ -57,6 +58,8 @@ SALTS = 16
 HOT = 500
 #: Words whose hashes a worker remembers.
 KNOWN_WORDS = 120_000
+#: Edges of which a task makes one forest at a time.
+FOREST = 250_000
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15)
 _S33 = np.uint64(33)
@@ -153,16 +156,64 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFra
     return left.join(hot, key).unionByName(cold)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, vertex) for every vertex of the edges that isn't its component's smallest, which is the root."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while len(x):
+        # each root hangs on the smallest one next to it: every round at least halves the roots that are still to join
+        tops = label[x], label[y]
+        for top in tops:
+            np.minimum.at(label, top, np.minimum(*tops))
+        while not np.array_equal(up := label[label], label):
+            label = up
+        open_ = label[x] != label[y]
+        x, y = x[open_], y[open_]
+    below = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[below]], nodes[below]
+
+
+def _forests(most: int):
+    """Edges (v, u) as stars with the same components; each forest is of most edges or the task's rest, and has its own number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, waiting, held = TaskContext.get().partitionId() << 32, 0, []
+
+        def out(v, u):
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(u, pa.int64()), pa.array(np.full(len(v), number), pa.int64())], ["v", "u", "forest"])
+
+        for batch in (whole.slice(at, most) for whole in batches for at in range(0, whole.num_rows, most)):
+            held.append((batch.column("v").to_numpy(), batch.column("u").to_numpy()))
+            waiting += batch.num_rows
+            if waiting >= most:
+                v, u = _roots(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                waiting, held = len(v), [(v, u)]
+                if 2 * waiting >= most:
+                    yield out(v, u)
+                    number, waiting, held = number + 1, 0, []
+        if held:
+            yield out(*_roots(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+    return run
+
+
+def connected_components(edges: DataFrame, most: int = FOREST) -> DataFrame:
     """(v, label) for every vertex of edges (a, b); label is the smallest vertex of its component.
 
-    Alternates large-star and small-star steps until the edges stay the same;
+    Each task first makes stars of its own edges, most of them at a time. Where one forest holds them all, that is
+    the result. Otherwise large-star and small-star steps alternate until the edges stay the same;
     each step is written, so that a lost executor costs one step at most.
     """
-    e = written(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u > v").distinct(), "edges")
+    spark = edges.sparkSession
+    stars, kind = _forests(most), "v long, u long, forest long"
+    e = edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u > v").mapInArrow(stars, kind)
+    e = written(e.select("v", "u").distinct().mapInArrow(stars, kind), "edges")
     sums = F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("v", "u")), F.lit(0)).alias("x")
-    state = e.agg(*sums).first()
-    while state["n"]:
+    state = e.agg(*sums, (F.min("forest") == F.max("forest")).alias("one")).first()
+    done, e = state["one"] or not state["n"], e.select("v", "u")
+    give_back(spark)
+    while not done:
         both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
         # large star: neighbours above u hang on the smallest of u's neighbourhood
@@ -173,9 +224,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = join_hot(large, below, "u", large.count()).select(F.col("m"), F.explode(F.array("u", "v")).alias("u")).select(F.col("m").alias("v"), "u")
         e = written(small.where("u > v").distinct(), "edges")
         now = e.agg(*sums).first()
-        if now == state:
-            break
-        state = now
+        done, state = tuple(now) == tuple(state)[:2], now
+        give_back(spark)
     return e.select(F.col("u").alias("v"), F.col("v").alias("label")).unionByName(e.select("v", F.col("v").alias("label")).distinct())
 
 
@@ -234,6 +284,7 @@ def near_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 80, den: int = 100, halves: int = 16
 ) -> DataFrame:
     """(key, n_shingles, component_id, kept, th), th a hash of the text: documents linked where den * intersection >= num * union."""
+    give_back(docs.sparkSession)
     sigs = written(signatures(docs, key, text, shingle, halves), "signatures")
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "th")).alias("first")
     classes = sigs.where("cls is not null").groupBy("cls").agg(first, F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("halves").alias("halves"))
@@ -249,6 +300,7 @@ def near_components(
     keyed = classes.select("cid", "halves").repartition(parts).select("cid", F.explode(tables).alias("bucket"))
     centres = keyed.groupBy("bucket").agg(F.min("cid").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket", "centre")
     stars = written(keyed.join(centres, "bucket").where("cid <> centre").select("cid", "centre").distinct(), "stars")
+    give_back(docs.sparkSession)
     members = stars.unionByName(stars.select(F.col("centre").alias("cid"), "centre").distinct())
     wanted = written(members.select("cid").distinct().join(classes.select("cid", "key", "th"), "cid"), "wanted")
     sets = written(_sets(docs, key, text, shingle, wanted), "sets")
@@ -262,6 +314,7 @@ def near_components(
     close = (F.least("n", "cn") * den >= F.greatest("n", "cn") * num)
     both = F.size(F.array_intersect("items", "citems"))
     linked = with_own.join(of_centre, ["centre", "salt"]).where(close).where(both * den >= (F.col("n") + F.col("cn") - both) * num)
+    give_back(docs.sparkSession)
     labels = written(connected_components(linked.select(F.col("cid").alias("a"), F.col("centre").alias("b"))), "labels")
     # groups over several components
     label = F.coalesce("label", "cid").alias("label")
@@ -294,6 +347,7 @@ def near_components(
     of_class = join_hot(grouped.select("cid", "comp"), least, "comp", grouped.count()).select("cid", "component")
     of_class = classes.select("cid", "cls", "key", F.col("rows").alias("n")).join(of_class, "cid", "left")
     of_class = written(of_class.select("cls", F.coalesce("component", "key").alias("component"), "n"), "of-class")
+    give_back(docs.sparkSession)
     # documents without a set are alone; copies of one text may be many
     narrow = sigs.select("key", "th", "n", "cls")
     worded = narrow.where("cls is not null").select("key", "th", F.col("n").alias("size"), "cls")
