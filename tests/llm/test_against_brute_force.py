@@ -610,6 +610,22 @@ def test_language_query_equals_a_plain_version(spark):
     assert all(got[d][0] == x[0] and abs(got[d][1] - x[1]) < 1e-3 for d, x in expected.items())
 
 
+def test_toxicity_numbers_equal_plain_counts(monkeypatch):
+    """Terms and counts as they are stored, 32 bits each, also where a worker forgets its words on the way."""
+    monkeypatch.setattr(toxicity, "KNOWN_WORDS", 40)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abé") for _ in range(rng.randrange(1, 7))) for _ in range(120)]
+    terms = sorted({t for w in words[:60] for t in toxicity.terms_of(w)})
+    vocabulary = toxicity.Vocabulary(terms)
+    for size in (0, 1, 5, 90):
+        counts = collections.Counter(rng.choices(words, k=size))
+        want = collections.Counter(t for w, n in counts.items() for t in toxicity.terms_of(w) for _ in range(n))
+        ids, tfs = vocabulary.numbers(counts)
+        assert ids.dtype == tfs.dtype == np.int32
+        assert list(zip(ids.tolist(), tfs.tolist(), strict=True)) == [(i, want[t]) for i, t in enumerate(terms) if want[t]]
+    assert vocabulary.numbers(collections.Counter(["zzz"]))[0].tolist() == []
+
+
 def test_toxicity_query_equals_a_plain_version(spark):
     """Vectors, neighbours, votes, evidence, both fits and scores by dense arithmetic over every document of the fixture."""
     texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall())

@@ -93,39 +93,40 @@ def term_weight(tfs: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary(dict):
-    """Words by their row in a table of numbers, -1 where a term is none of the examples'."""
+    """Words by the numbers of their terms, each plus 1 (0: none of the examples'), BITS for each in one number."""
+
+    BITS = 63 // (1 + len(BEGINNINGS))
 
     def __init__(self, terms: list[str]):
         super().__init__()
         self.index = {t: i for i, t in enumerate(terms)}
-        self.table = np.full((KNOWN_WORDS, 1 + len(BEGINNINGS)), -1, np.int32)
+        if len(terms) >> min(self.BITS, 31):
+            raise ValueError(f"{len(terms)} terms are more than {min(self.BITS, 31)} bits can number")
 
     def __reduce__(self):
         return Vocabulary, (list(self.index),)
 
     def __missing__(self, word: str) -> int:
-        row = len(self)
-        if row >= len(self.table):
-            self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
-        self.table[row] = -1
+        got = 0
         for k, t in enumerate(terms_of(word)):
-            self.table[row, k] = self.index.get(t, -1)
-        self[word] = row
-        return row
+            got |= (self.index.get(t, -1) + 1) << k * self.BITS
+        self[word] = got
+        return got
 
     def numbers(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms of a text, ascending, and how often they occur."""
         if len(self) > KNOWN_WORDS:
             self.clear()
-        rows = np.fromiter(map(self.__getitem__, counts), np.int64, len(counts))
-        ids = self.table[rows].ravel()
-        tfs = np.repeat(np.fromiter(counts.values(), np.int32, len(counts)), self.table.shape[1])
-        there = ids >= 0
-        ids, tfs = ids[there], tfs[there]
-        order = np.argsort(ids, kind="stable")
-        ids, tfs = ids[order], tfs[order]
-        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.empty(0, np.int64)
-        return ids[first], np.add.reduceat(tfs, first) if len(first) else tfs
+        numbers = np.fromiter(map(self.__getitem__, counts), np.int64, len(counts))
+        tfs = np.fromiter(counts.values(), np.int64, len(counts))
+        # a term's number and its count in one number, so that one sort does for both
+        cells = np.concatenate([(numbers >> k * self.BITS & (1 << self.BITS) - 1) << 32 | tfs for k in range(1 + len(BEGINNINGS))])
+        cells = np.sort(cells[cells >> 32 > 0])
+        if not len(cells):
+            return np.empty(0, np.int32), np.empty(0, np.int32)
+        ids = cells >> 32
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        return (ids[first] - 1).astype(np.int32), np.add.reduceat(cells & (1 << 32) - 1, first).astype(np.int32)
 
 
 class BlockMaxIndex:
