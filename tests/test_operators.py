@@ -348,6 +348,54 @@ def test_binlog_values():
         value(b"\1", b.LONG)
 
 
+def test_binlog_columns_read_as_values():
+    """What reads a table's columns gives the values and places that reading value by value gives, and stops where an event ends."""
+    import random
+
+    from tidelog.functions import binlog as b
+
+    r = random.Random(3)
+    number = lambda digits: r.randrange(10**digits).to_bytes(b._REST[digits] if digits < 9 else 4, "big")
+    for _ in range(300):
+        whole = bytearray(number(3) + number(9) + number(9) + number(1))
+        whole[0] ^= 0x80
+        whole = bytes(x ^ 0xFF for x in whole) if r.random() < 0.5 else bytes(whole)
+        cells = [
+            (b.TINY, b"", r.randbytes(1)), (b.SHORT, b"", r.randbytes(2)), (b.INT24, b"", r.randbytes(3)), (b.LONG, b"", r.randbytes(4)), (b.LONGLONG, b"", r.randbytes(8)), (b.VARCHAR, b"\x50\0", b"\3a\xc3\xa9"),
+            (b.VARCHAR, b"\x2c\1", b"\2\0xy"), (b.STRING, bytes((b.ENUM, 2)), r.randbytes(2)), (b.SET, b"\0\3", r.randbytes(3)), (b.DATETIME2, b"\0", r.randbytes(5)), (b.DATETIME2, b"\5", b"\x99" + r.randbytes(7)),
+            (b.NEWDECIMAL, bytes((22, 10)), whole), (b.DATE, b"", r.randbytes(3)), (b.BLOB, b"\1", b"\2\1\2"), (b.DOUBLE, b"\10", b"\0" * 6 + b"\xf8\x3f"),
+        ]
+        r.shuffle(cells)
+        raw = b"".join(c[2] for c in cells)
+        readers = b._readers(bytes(c[0] for c in cells), tuple(c[1] for c in cells))
+        at, slow = 0, b._Bytes(raw)
+        for (kind, meta, _), read in zip(cells, readers):
+            got, at = read(raw, at)
+            assert got == b._value(slow, kind, meta) and at == slow.at
+        with pytest.raises(ValueError, match="ends within a value"):
+            b._image(bytes(2) + raw[:-1], 0, list(enumerate(readers)), len(cells))
+
+
+def test_binlog_rows_leave_in_batches(tmp_path, monkeypatch):
+    """Rows go to Spark as columns, a bounded number at once."""
+    import json
+
+    import pandas as pd
+    import pyarrow as pa
+
+    from tidelog.plans.logs import log_file
+    from tidelog.sources import binlog_source
+
+    n = 200
+    rows = pd.DataFrame({"event_id": range(n), "user_id": 1, "event_type": "x", "value": [None if i % 7 == 0 else i / 3 for i in range(n)], "ts": pd.Timestamp("2024-02-29 23:59:58.000123"), "cents": [-i * 7 for i in range(n)], "kind": [i % 3 + 1 for i in range(n)]})
+    (tmp_path / "bin.000001").write_bytes(log_file(rows))
+    monkeypatch.setattr(binlog_source, "AT_ONCE", 4000, raising=False)
+    found = list(binlog_source._Logs({"path": str(tmp_path)}).rows(str(tmp_path / "bin.000001")))
+    assert all(isinstance(x, pa.RecordBatch) for x in found) and len(found) > 5 and max(x.num_rows for x in found) < 60
+    made = [json.loads(r["after"]) for x in found for r in x.to_pylist() if r["op"] == "c"]
+    assert made == [[i, 1, "x", None if i % 7 == 0 else i / 3, "2024-02-29 23:59:58.000123", f"{'-' * (i > 0)}{i * 7 / 1e4:.4f}", i % 3 + 1] for i in range(n)]
+
+
 def test_binlog_source_stream_and_broken_files(spark, tmp_path):
     import datetime
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import struct
+from itertools import groupby
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -22,18 +25,32 @@ def _event(kind: int, body: bytes, at: int, seconds: int) -> bytes:
     return struct.pack("<IBIIIH", seconds, kind, 1, size, at + size, 0) + body + b"\0\0\0\0"
 
 
-def _row(r) -> bytes:
-    t = r.ts
-    packed = ((t.year * 13 + t.month) << 22 | t.day << 17 | t.hour << 12 | t.minute << 6 | t.second) + (1 << 39)
-    name = r.event_type.encode()
+def _big(numbers, size: int) -> np.ndarray:
+    """The last bytes of numbers, the highest first, one row each."""
+    return np.asarray(numbers, ">i8").view("u1").reshape(-1, 8)[:, 8 - size :]
+
+
+def _images(rows: pd.DataFrame) -> list[bytes]:
+    """Row images: null bits, id, user, type, value, moment, price, kind."""
+    year, month, day, hour, minute, second, micro = (getattr(rows.ts.dt, x).to_numpy("int64") for x in ("year", "month", "day", "hour", "minute", "second", "microsecond"))
+    packed = ((year * 13 + month) << 22 | day << 17 | hour << 12 | minute << 6 | second) + (1 << 39)
     # decimal(12,4): eight digits and four; negative ones are inverted
-    cents = int(r.cents)
-    raw = struct.pack(">IH", abs(cents) // 10000, abs(cents) % 10000)
-    raw = bytes(x ^ 0xFF for x in raw) if cents < 0 else raw
-    raw = bytes((raw[0] ^ 0x80,)) + raw[1:]
-    value = b"" if pd.isna(r.value) else struct.pack("<d", r.value)
-    nulls = 8 * (not value)
-    return bytes((nulls,)) + struct.pack("<qi", r.event_id, r.user_id) + bytes((len(name),)) + name + value + packed.to_bytes(5, "big") + t.microsecond.to_bytes(3, "big") + raw + bytes((int(r.kind),))
+    cents = rows.cents.to_numpy("int64")
+    if (np.abs(cents) >= 10**12).any():
+        raise ValueError("a price of more than twelve digits")
+    price = np.abs(cents) // 10000 << 16 | np.abs(cents) % 10000
+    price = np.where(cents < 0, price ^ (1 << 48) - 1, price) ^ (1 << 47)
+    value = rows.value.to_numpy("float64")
+    absent = np.isnan(value)
+    n = len(rows)
+    head = np.hstack([(8 * absent).astype("u1")[:, None], rows.event_id.to_numpy("<i8").view("u1").reshape(n, 8), rows.user_id.to_numpy("<i4").view("u1").reshape(n, 4)]).tobytes()
+    tail = np.hstack([_big(packed, 5), _big(micro, 3), _big(price, 6), _big(rows.kind, 1)]).tobytes()
+    values = value.astype("<f8").tobytes()
+    named = {x: bytes((len(x.encode()),)) + x.encode() for x in rows.event_type.unique()}
+    return [
+        head[13 * i : 13 * i + 13] + named[x] + (b"" if none else values[8 * i : 8 * i + 8]) + tail[15 * i : 15 * i + 15]
+        for i, (x, none) in enumerate(zip(rows.event_type.tolist(), absent.tolist()))
+    ]
 
 
 def log_file(rows: pd.DataFrame) -> bytes:
@@ -41,13 +58,16 @@ def log_file(rows: pd.DataFrame) -> bytes:
     out = bytearray(b.MAGIC)
     seconds = int(rows.ts.iloc[0].timestamp())
     out += _event(b.FORMAT, struct.pack("<H50sIB", 4, b"8.0.0", 0, 19) + bytes(40) + b"\1", len(out), seconds)
-    for xid, own in rows.groupby(rows.event_id // 10, sort=True):
+    xids = rows.event_id.to_numpy() // 10
+    order = np.argsort(xids, kind="stable")
+    made = zip(xids[order].tolist(), rows.kind.to_numpy()[order].tolist(), map(_images(rows).__getitem__, order.tolist()))
+    name = struct.pack("<6sH", b"\7\0\0\0\0\0", 1) + b"\4shop\0" + b"\6events\0" + bytes((7,)) + _TYPES + bytes((len(_META),)) + _META + b"\x08"
+    head, full = struct.pack("<6sHHB", b"\7\0\0\0\0\0", 1, 2, 7), b"\x7f"
+    for xid, own in groupby(made, itemgetter(0)):
         out += _event(b.GTID, b"\0" + bytes(range(16)) + int(xid + 1).to_bytes(8, "little") + bytes(10), len(out), seconds)
         out += _event(b.QUERY, struct.pack("<IIBHH", 1, 0, 4, 0, 0) + b"shop\0BEGIN", len(out), seconds)
-        name = struct.pack("<6sH", b"\7\0\0\0\0\0", 1) + b"\4shop\0" + b"\6events\0" + bytes((7,)) + _TYPES + bytes((len(_META),)) + _META + b"\x08"
         out += _event(b.TABLE_MAP, name, len(out), seconds)
-        head, full = struct.pack("<6sHHB", b"\7\0\0\0\0\0", 1, 2, 7), b"\x7f"
-        images = [(r.kind, _row(r)) for r in own.itertuples()]
+        images = [(kind, x) for _, kind, x in own]
         out += _event(b.WRITE[1], head + full + b"".join(x for _, x in images), len(out), seconds)
         if changed := [x + x for k, x in images if k == 2]:
             out += _event(b.UPDATE[1], head + full + full + b"".join(changed), len(out), seconds)
@@ -85,8 +105,8 @@ printf('bin.%06d', event_id // 5000) AS file, '00010203-0405-0607-0809-0a0b0c0d0
 def binlog_rows(spark, sf_dir):
     spark.dataSource.register(BinlogSource)
     rows = spark.read.format("binlog").option("table", "events").load(_written_logs(spark, sf_dir)).where(F.col("op").isin("c", "u", "d"))
-    image = F.from_json(F.coalesce("after", "before"), "array<string>")
-    return rows.select(
+    image = F.col("image")
+    return rows.select("op", F.from_json(F.coalesce("after", "before"), "array<string>").alias("image"), "file", "gtid").select(
         "op", image[0].cast("long").alias("id"), image[1].cast("int").alias("user_id"), image[2].alias("event_type"), image[3].cast("double").alias("value"), image[4].alias("moment"),
         image[5].cast("decimal(12,4)").cast("string").alias("price"), image[6].cast("int").alias("kind"), "file", "gtid",
     )

@@ -12,6 +12,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions import binlog
@@ -19,6 +20,9 @@ from ..functions import binlog
 SCHEMA = (
     "file string, pos long, ts_sec long, server_id long, gtid string, row long, db string, table string, op string, before string, after string, query string"
 )
+ARROW = pa.schema([(c, {"string": pa.string(), "long": pa.int64()}[t]) for c, t in (f.split() for f in SCHEMA.split(", "))])
+#: About how many characters of rows are returned at once.
+AT_ONCE = 1 << 22
 
 
 class _File(InputPartition):
@@ -51,14 +55,30 @@ class _Logs:
         found = [f for f in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if f.is_file and re.search(r"\.\d+$", f.base_name)]
         return sorted((f.base_name, f.path) for f in found if f.base_name >= self.first)
 
-    def rows(self, path: str) -> Iterator[tuple]:
+    def rows(self, path: str) -> Iterator[pa.RecordBatch]:
         fs, _ = _open(self.uri)
         name = path.rsplit("/", 1)[-1]
-        text = lambda image: None if image is None else json.dumps(image)
+        kept: dict[tuple, bool] = {(None, None): True}
+        out: list[tuple] = []
+        size = 0
         with fs.open_input_stream(path, buffer_size=1 << 20, compression=None) as stream:
             for c in binlog.changes(stream):
-                if c.table is None or self.db.fullmatch(c.db) and self.table.fullmatch(c.table):
-                    yield (name, c.pos, c.ts_sec, c.server_id, c.gtid, c.row, c.db, c.table, c.op, text(c.before), text(c.after), c.query)
+                of = (c.db, c.table) if c.table is not None else (None, None)
+                if of not in kept:
+                    kept[of] = bool(self.db.fullmatch(c.db) and self.table.fullmatch(c.table))
+                if kept[of]:
+                    before, after = None if c.before is None else json.dumps(c.before), None if c.after is None else json.dumps(c.after)
+                    out.append((c.pos, c.ts_sec, c.server_id, c.gtid, c.row, c.db, c.table, c.op, before, after, c.query))
+                    size += 100 + len(before or "") + len(after or "") + len(c.query or "")
+                    if size > AT_ONCE:
+                        yield _batch(name, out)
+                        out, size = [], 0
+        if out:
+            yield _batch(name, out)
+
+
+def _batch(name: str, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(((name,) * len(rows), *zip(*rows)), ARROW.types)], schema=ARROW)
 
 
 class BinlogReader(DataSourceReader):
