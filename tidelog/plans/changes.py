@@ -230,7 +230,7 @@ def gtid_intervals(spark, sf_dir):
 
 @register("""SELECT event_id, CASE WHEN user_id % 3 = 0 AND (event_id BETWEEN 1 AND 50 OR event_id BETWEEN 60 AND 99) OR user_id % 3 = 1 AND event_id = 7 THEN 1 ELSE 0 END AS inside FROM events""")
 def gtid_contains(spark, sf_dir):
-    ids = gtid.parse(F.lit("srv0:1-20:21-50:60-99,srv1:7"))
+    ids = gtid.fixed("srv0:1-20:21-50:60-99,srv1:7")
     return _points(spark, sf_dir).select(F.col("n").alias("event_id"), gtid.contains(ids, F.col("server"), F.col("n")).cast("int").alias("inside"))
 
 
@@ -238,7 +238,7 @@ def gtid_contains(spark, sf_dir):
 def gtid_containment(spark, sf_dir):
     lo = F.col("n") % 10
     a = gtid.parse(F.concat(F.lit("u:"), lo.cast("string"), F.lit("-"), (lo + 3).cast("string")))
-    return _points(spark, sf_dir).select(F.col("n").alias("event_id"), gtid.contained_within(a, gtid.parse(F.lit("v:1-100,u:2-9"))).cast("int").alias("inside"))
+    return _points(spark, sf_dir).select(F.col("n").alias("event_id"), gtid.contained_within(a, gtid.fixed("v:1-100,u:2-9")).cast("int").alias("inside"))
 
 
 @register("""SELECT event_id, CASE WHEN k = 0 THEN 'u:' || (k + 2) || '-20' WHEN k >= 20 THEN 'u:1-' || (k - 1) ELSE 'u:1-' || (k - CASE WHEN k = 1 THEN 0 ELSE 1 END) || CASE WHEN k + 2 <= 20 THEN ':' || (k + 2) || '-20' ELSE '' END END AS left_over
@@ -246,7 +246,7 @@ FROM (SELECT event_id, 2 + event_id % 17 AS k FROM events)""")
 def gtid_subtract(spark, sf_dir):
     k = F.lit(2) + F.col("n") % 17
     b = gtid.parse(F.concat(F.lit("u:"), k.cast("string"), F.lit("-"), (k + 1).cast("string")))
-    return _points(spark, sf_dir).select(F.col("n").alias("event_id"), gtid.render(gtid.subtract(gtid.parse(F.lit("u:1-10:11-20")), b)).alias("left_over"))
+    return _points(spark, sf_dir).select(F.col("n").alias("event_id"), gtid.render(gtid.subtract(gtid.fixed("u:1-10:11-20"), b)).alias("left_over"))
 
 
 @register("SELECT event_id // 1000 AS batch, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")

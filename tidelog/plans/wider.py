@@ -59,10 +59,11 @@ FROM (SELECT event_id, user_id % 3 AS u, 2 + event_id % 100 AS n FROM events)"""
 def gtid_algebra(spark, sf_dir):
     n = F.lit(2) + F.col("event_id") % 100
     own = F.concat(F.lit("srv"), (F.col("user_id") % 3).cast("string"), F.lit(":"), n.cast("string"), F.lit("-"), (n + 5).cast("string"))
-    a, b = gtid.parse(F.lit("srv0:1-3,x:1-9")), gtid.parse(own)
-    return table(spark, sf_dir, "events").select(
-        "event_id", gtid.render(gtid.with_(a, b)).alias("joined"), gtid.render(gtid.retain(gtid.with_(a, b), ["srv0"])).alias("kept"), gtid.render(gtid.beginning(b)).alias("began"),
-        gtid.render(gtid.start_set(gtid.parse(F.lit("srv0:1-3")), b)).alias("started"),
+    # the row's own set is parsed once, and joined with the fixed one once
+    rows = table(spark, sf_dir, "events").select("event_id", gtid.parse(own).alias("b")).select("event_id", "b", gtid.with_(gtid.fixed("srv0:1-3,x:1-9"), F.col("b")).alias("both"))
+    return rows.select(
+        "event_id", gtid.render(F.col("both")).alias("joined"), gtid.render(gtid.retain(F.col("both"), ["srv0"])).alias("kept"), gtid.render(gtid.beginning(F.col("b"))).alias("began"),
+        gtid.render(gtid.start_set(gtid.fixed("srv0:1-3"), F.col("b"))).alias("started"),
     )
 
 
